@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, simhash
+from . import langid, licenses, mixing, packing, quality, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,11 +75,23 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality.learned(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_mixing": op3_mixing,
     "op4_langid": op4_langid,
     "op6_packing": op6_packing,
+    "op7_licenses": op7_licenses,
     "op8_simhash": op8_simhash,
+    "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {
