@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, packing, quality, simhash
+from . import langid, licenses, mixing, packing, quality, simhash, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.train(urls.labelled_urls(spark))
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model).drop("url")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = mixing.mix_plan(table(spark, sf_dir, "documents"))
     rows = per.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
@@ -86,6 +91,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_urls": op2_urls,
     "op3_mixing": op3_mixing,
     "op4_langid": op4_langid,
     "op6_packing": op6_packing,
