@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, packing, quality, simhash, urls
+from . import fingerprints, langid, licenses, mixing, packing, quality, simhash, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = quality.score(docs, quality.learned(docs, table(spark, sf_dir, "labels")))
@@ -97,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op6_packing": op6_packing,
     "op7_licenses": op7_licenses,
     "op8_simhash": op8_simhash,
+    "op9_fingerprints": op9_fingerprints,
     "op10_quality": op10_quality,
 }
 
