@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licenses, mixing, packing, quality, simhash, urls
+from . import embeddings, fingerprints, langid, licenses, mixing, packing, quality, simhash, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.train(urls.labelled_urls(spark))
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model).drop("url")
@@ -95,6 +99,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embeddings": op1_embeddings,
     "op2_urls": op2_urls,
     "op3_mixing": op3_mixing,
     "op4_langid": op4_langid,
