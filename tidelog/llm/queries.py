@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, langid, licenses, mixing, packing, quality, simhash, urls
+from . import embeddings, fingerprints, langid, licenses, mixing, packing, quality, simhash, suffixes, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,41 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP5_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), g AS (
+  SELECT row, doc_id, p, substr(h, CAST(2 * p + 1 AS BIGINT), 100) AS s
+  FROM (SELECT row, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS p FROM d)
+), f AS (
+  SELECT s, min(doc_id) AS first FROM g GROUP BY s
+), c AS (
+  SELECT row, p, CASE WHEN p <= lag(p) OVER (PARTITION BY row ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh
+  FROM g JOIN f USING (s) WHERE f.first < g.doc_id
+), n AS (
+  SELECT row, p, sum(fresh) OVER (PARTITION BY row ORDER BY p ROWS UNBOUNDED PRECEDING) AS span FROM c
+), r AS (
+  SELECT row, span, min(p) AS lo, max(p) + 50 AS hi FROM n GROUP BY row, span
+), k AS (
+  SELECT row, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM r GROUP BY row
+), e AS (
+  SELECT row, lo AS stop, coalesce(lag(hi) OVER (PARTITION BY row ORDER BY lo), 0) AS begin FROM r
+  UNION ALL
+  SELECT d.row, length(h) // 2, coalesce(max(hi), 0) FROM d LEFT JOIN r ON r.row = d.row GROUP BY d.row, h
+), t AS (
+  SELECT e.row, string_agg(substr(d.h, CAST(2 * begin + 1 AS BIGINT), CAST(2 * (stop - begin) AS BIGINT)), '' ORDER BY begin, stop) AS kept
+  FROM e JOIN d ON d.row = e.row GROUP BY e.row
+)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(k.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(t.kept)) AS kept_sha256
+FROM d JOIN t ON t.row = d.row LEFT JOIN k ON k.row = d.row
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -103,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "op2_urls": op2_urls,
     "op3_mixing": op3_mixing,
     "op4_langid": op4_langid,
+    "op5_suffixes": op5_suffixes,
     "op6_packing": op6_packing,
     "op7_licenses": op7_licenses,
     "op8_simhash": op8_simhash,
@@ -112,4 +148,5 @@ QUERIES: dict[str, Query] = {
 
 SQL: dict[str, str] = {
     "op3_mixing": OP3_SQL,
+    "op5_suffixes": OP5_SQL,
 }
