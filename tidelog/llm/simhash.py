@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, star, tasks
@@ -176,3 +176,149 @@ def near_duplicates(docs: DataFrame, k: int = 3, budget: int = 2) -> DataFrame:
     named = named.join(least, "comp").select(F.col("fp").alias("_fp"), "component_id")
     out = f.join(named, f["fp"] == named["_fp"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Fingerprints of one key compared with each other in one round of ``similar_groups``; more are split by further bits and looked at again.
+ROUND_CROWD = 1024
+#: Partners of a text verified in each key, by round: few while groups are dense, all at last.
+PARTNERS = (4, 32, None)
+
+
+def key_bits(n: int, similarity: float, miss: float = 0.005) -> tuple[int, int, int]:
+    """Bits of a key, number of keys and error budget for ``n`` texts, such that of pairs of at least ``similarity`` (Jaccard) at most ``miss`` share no key.
+
+    Shingle sets of Jaccard similarity j have the cosine 2j / (1 + j), and each bit differs with a chance of that angle over pi.
+    """
+    differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = int(min(24, max(8, np.ceil(np.log2(max(n, 2))) - 4)))
+    keys = int(np.ceil(np.log(miss) / np.log1p(-((1 - differ) ** bits))))
+    return bits, keys, int(np.ceil(64 * differ + 3 * np.sqrt(64 * differ * (1 - differ))))
+
+
+def candidates(nodes: DataFrame, similarity: float, partners: int | None) -> DataFrame:
+    """Pairs ``(a, b)`` of ``nodes(node, ord, fp)`` that share a key and differ within the budget, and rows ``a = b`` for nodes with more to look at.
+
+    Each node gets its nearest ``partners`` before it in each key (all if None).
+    """
+    spark = nodes.sparkSession
+    bits, keys, budget = key_bits(nodes.count(), similarity)
+    chosen = [np.random.default_rng([8, k]).permutation(64)[: 2 * bits] for k in range(keys)]
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(2).to_numpy().view(np.uint64)
+            for k, places in enumerate(chosen):
+                grp = np.full(len(fp), k << 32, np.int64)
+                for i, p in enumerate(places[:bits].tolist()):
+                    grp |= ((fp >> np.uint64(p)) & np.uint64(1)).astype(np.int64) << i
+                yield pa.RecordBatch.from_arrays([pa.array(grp), *b.columns], ["grp", "node", "ord", "fp"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not cols:
+            return
+        grp, node, ord_, fp = (np.concatenate(x) for x in zip(*cols, strict=True))
+        fp = fp.view(np.uint64)
+        order = np.lexsort((node, ord_, fp, grp))
+        grp, node, ord_, fp = grp[order], node[order], ord_[order], fp[order]
+        more: list[np.ndarray] = []
+        size = np.bincount(np.unique(grp, return_inverse=True)[1])
+        if partners is not None and len(size) and size.max() > ROUND_CROWD:
+            crowded = np.repeat(size, size) > ROUND_CROWD
+            more.append(node[crowded])
+            grp = grp.copy()
+            for i in np.flatnonzero(crowded).tolist():
+                places = chosen[int(grp[i]) >> 32][bits:].tolist()
+                grp[i] = hash((int(grp[i]), *[(int(fp[i]) >> p) & 1 for p in places]))
+            order = np.lexsort((node, ord_, fp, grp))
+            grp, node, ord_, fp = grp[order], node[order], ord_[order], fp[order]
+        # the trie has each fingerprint once; later texts with it are paired with the first
+        same = np.concatenate(([False], (grp[1:] == grp[:-1]) & (fp[1:] == fp[:-1])))
+        head = np.flatnonzero(~same)
+        of = head[np.cumsum(~same) - 1]
+        parts = [(np.flatnonzero(same), of[same])]
+        g, v = grp[head], fp[head]
+        for s in batched(g, 16384):
+            x, y = trie_pairs(v[s], g[s], budget)
+            parts.append((head[s][x], head[s][y]))
+        x, y = (np.concatenate(z) for z in zip(*parts, strict=True))
+        later = np.lexsort((node, ord_))
+        place = np.empty(len(node), np.int64)
+        place[later] = np.arange(len(node))
+        x, y = np.where(place[x] > place[y], x, y), np.where(place[x] > place[y], y, x)
+        if partners is not None and len(x):
+            by = np.lexsort((place[y], np.bitwise_count(fp[x] ^ fp[y]), x))
+            x, y = x[by], y[by]
+            first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+            rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+            more.append(node[x[rank >= partners]])
+            x, y = x[rank < partners], y[rank < partners]
+        again = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
+        for i in range(0, len(x), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(node[x[i : i + 65536]]), pa.array(node[y[i : i + 65536]])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(again), pa.array(again)], ["a", "b"])
+
+    f = nodes.select("node", "ord", "fp").mapInArrow(filed, "grp long, node long, ord long, fp long")
+    return f.repartition(4 * tasks(spark), "grp").mapInArrow(joined, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose ``texts(node, text)`` have shingle sets of at least ``similarity``."""
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [np.unique(shingle_hashes(t.as_py() or "", k)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["node", "set"])
+
+    s = texts.join(need, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(common >= similarity * (len(p) + len(q) - common))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(s.withColumnRenamed("node", "a").withColumnRenamed("set", "p"), "a").join(s.withColumnRenamed("node", "b").withColumnRenamed("set", "q"), "b")
+    return both.select("a", "b", "p", "q").mapInArrow(compare, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of texts alike: rows of ``docs`` that stay, all columns as they are.
+
+    Texts link when their sets of ``k``-word shingles have a Jaccard similarity of at least ``similarity``; of each group
+    linked the document with the least ``doc_id`` stays. Candidates come from SimHash fingerprints of the shingles, joined by tries under as many keys
+    as it takes to miss half a percent of links at the bound; all are verified on the texts. Dense groups are thinned first, with few partners
+    for each text, before what is left is compared without that limit: no candidate is left unverified.
+
+    Defined cases: null and empty texts are alike; fewer than ``k`` words are one shingle; a null ``doc_id`` counts as
+    the largest; of rows repeated exactly one stays; an empty table gives an empty result.
+    """
+    last = 2**63 - 1
+    d = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(last)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([simhash(shingle_hashes(t.as_py() or "", k)) for t in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["node", "ord", "fp"])
+
+    f = d.select(F.col("_node"), F.col("_ord"), "text").mapInArrow(run, "node long, ord long, fp long")
+    nodes = cut(f.groupBy("node").agg(F.min("ord").alias("ord"), F.first("fp").alias("fp")))
+    texts = d.select(F.col("_node").alias("node"), "text")
+    for partners in PARTNERS:
+        found = cut(candidates(nodes, similarity, partners))
+        links = cut(verified(found.where("a <> b"), texts, k, similarity))
+        comp = components(links)
+        ranked = nodes.join(comp, "node").select("node", "comp", "ord")
+        best = ranked.groupBy("comp").agg(F.min(F.struct("ord", "node")).alias("best"))
+        drop = ranked.join(best, "comp").where(F.col("node") != F.col("best.node")).select("node")
+        nodes = cut(nodes.join(drop, "node", "left_anti"))
+        if found.where("a = b").limit(1).count() == 0:
+            break
+    stay = nodes.select(F.col("node").alias("_n"), F.col("ord").alias("_o"))
+    out = d.join(stay, (d["_node"] == stay["_n"]) & (d["_ord"] == stay["_o"]))
+    out = out.withColumn("_row", F.row_number().over(Window.partitionBy("_node", "_ord").orderBy(F.lit(1)))).where("_row = 1")
+    return out.select(*docs.columns)
