@@ -100,8 +100,8 @@ def chosen(schema: T.StructType, focus: Focus) -> list[Leaf]:
     return out
 
 
-def apply(df: DataFrame, schema: T.StructType, focus: Focus, keep: bool = False) -> DataFrame:
-    """``df`` (with the store's columns) as ``focus`` asks; with ``keep`` offsets and partitions come along."""
+def apply(df: DataFrame, schema: T.StructType, focus: Focus) -> DataFrame:
+    """``df`` (with the store's columns) as ``focus`` asks; offsets and partitions come along."""
     picked = chosen(schema, focus)
     name = lambda p: (focus.separator or ".").join(p)
     cols = []
@@ -114,5 +114,4 @@ def apply(df: DataFrame, schema: T.StructType, focus: Focus, keep: bool = False)
     if len(picked) == 1 and isinstance(picked[0][1], T.StructType) and not focus.separator:
         whole = cols[0][1]
         cols = [(f.name, whole.getField(f.name)) for f in picked[0][1].fields]
-    extra = [F.col(PARTITION), F.col(INDEX)] if keep else []
-    return df.select(*[c.alias(n) for n, c in cols], *extra)
+    return df.select(*[c.alias(n) for n, c in cols], PARTITION, INDEX)

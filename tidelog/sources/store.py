@@ -309,13 +309,13 @@ class Store:
         if time is not None:
             where = where & F.col(schemas.TIME).between(time.start, time.end)
         names = [p.partition for p in plan.parts]
-        rank = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(PARTITION)) if len(names) > 1 else F.lit(1)
+        rank = [F.array_position(F.array(*[F.lit(n) for n in names]), F.col(PARTITION))] if len(names) > 1 else []
         index = F.col(INDEX) if order is Order.ASC else F.col(INDEX).desc()
-        df = df.where(where).orderBy(rank, index)
-        cols = self.schema(plan.schema)
+        df = df.where(where)
         if focus:
-            return focusing.apply(df, cols, focus, keep)
-        return df.drop(CHUNK) if keep else df.select(*[F.col(f"`{c}`") for c in cols.fieldNames()])
+            df = focusing.apply(df, self.schema(plan.schema), focus)
+        df = df.drop(CHUNK).orderBy(*rank, index)
+        return df if keep else df.drop(PARTITION, INDEX)
 
     @staticmethod
     def _inside(p: Part):
