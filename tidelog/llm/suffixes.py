@@ -402,15 +402,16 @@ def deduplicate(docs: DataFrame, length: int = 50, texts: bool = False) -> DataF
     whole = F.octet_length("text") >= length
     light = d.select(*[F.when(whole, None).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in d.columns], whole.alias("_whole"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("_bytes"))
     out = light.join(heads.withColumnRenamed("_sha", "_h"), F.col("_sha") == F.col("_h"))
-    out = out.join(done, (out["_sha"] == done["sha"]) & (out["_ord"] == done["ord"]), "left")
+    done = done.toDF("_d_ord", "_d_sha", "_d_removed", "_d_spans", "_d_kept", "_d_left")
+    out = out.join(done, (out["_sha"] == done["_d_sha"]) & (out["_ord"] == done["_d_ord"]), "left")
     copy = (F.col("_ord") > F.col("_first")) & (F.col("_bytes") >= length)
     if texts:
-        out = out.withColumn("text", F.when(copy, "").when(F.col("_whole"), F.col("left")).otherwise(F.col("text")))
+        out = out.withColumn("text", F.when(copy, "").when(F.col("_whole"), F.col("_d_left")).otherwise(F.col("text")))
         if "n_chars" in docs.columns:
             out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
         return out.select(*docs.columns)
     return out.select(
         "doc_id", F.col("_bytes").alias("n_bytes"),
-        F.when(copy, F.col("_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "_sha")).alias("kept_sha256"))
+        F.when(copy, F.col("_bytes")).otherwise(F.coalesce("_d_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, 1).otherwise(F.coalesce("_d_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("_d_kept", "_sha")).alias("kept_sha256"))
