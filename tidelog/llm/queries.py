@@ -23,6 +23,23 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS row, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE len(x) > 0 AND list_bool_and(list_transform(x, lambda e: e IS NOT NULL AND isfinite(e))) AND list_max(list_transform(x, lambda e: abs(e))) > 0
+), l AS (
+  SELECT a.row AS a, b.row AS b, b.vec_id AS b_id FROM ok a JOIN ok b ON a.row <> b.row AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95
+), r AS (
+  SELECT row AS a, row AS b, vec_id AS id FROM v UNION SELECT r.a, l.b, l.b_id FROM r JOIN l ON l.a = r.b
+), c AS (
+  SELECT a AS row, min(id) AS component_id FROM r GROUP BY a
+)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.row) AS n_links, c.component_id, coalesce(v.vec_id = c.component_id, false) AS kept
+FROM v JOIN c ON c.row = v.row
+"""
+
+
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.train(urls.labelled_urls(spark))
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model).drop("url")
@@ -130,7 +147,40 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def _license_sql() -> str:
+    rows = []
+    for exact, phrases in (("true", licenses.BASE), ("false", licenses.NOTICES)):
+        for label, text in phrases.items():
+            w = text.split()
+            rows += [f"('{w[i]} {w[i + 1]}', '{label} {exact}', '{label}', {exact}, {i}, {len(w) - 1})" for i in range(len(w) - 1)]
+    return f"""
+WITH t(pair, template, label, exact, place, pairs) AS (VALUES {", ".join(rows)}
+), d AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT row, spot, w[spot + 1] || ' ' || w[spot + 2] AS pair FROM (SELECT row, w, unnest(range(0, greatest(len(w) - 1, 0))) AS spot FROM d)
+), h AS (
+  SELECT DISTINCT g.row, t.template, t.label, t.exact, t.pairs, spot - place AS diagonal, place FROM g JOIN t ON t.pair = g.pair
+), v AS (
+  SELECT row, template, label, exact, pairs, diagonal, count(*) AS seen FROM h GROUP BY ALL
+), b AS (
+  SELECT row, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM v WHERE exact AND seen = pairs GROUP BY row
+), m AS (
+  SELECT v.row, v.label, v.diagonal, v.template, v.seen, v.pairs, count(DISTINCT h.place) AS merged FROM v JOIN h ON h.row = v.row AND h.template = v.template AND abs(h.diagonal - v.diagonal) <= {licenses.DRIFT}
+  WHERE NOT v.exact GROUP BY ALL
+), k AS (
+  SELECT m.row, m.label, CAST(m.merged AS DOUBLE) / m.pairs AS cover, m.seen >= (SELECT max(o.seen) FROM m o WHERE o.row = m.row AND o.template = m.template AND abs(o.diagonal - m.diagonal) <= {licenses.DRIFT}) AS peak FROM m
+), a AS (
+  SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (
+    SELECT row, label FROM v WHERE exact AND seen = pairs UNION SELECT row, label FROM k WHERE peak AND cover >= {licenses.COVER}) GROUP BY row
+), s AS (SELECT row, max(cover) AS best FROM k GROUP BY row)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
+FROM d LEFT JOIN b ON b.row = d.row LEFT JOIN a ON a.row = d.row LEFT JOIN s ON s.row = d.row
+"""
 
 
 QUERIES: dict[str, Query] = {
@@ -147,6 +197,8 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_embeddings": OP1_SQL,
     "op3_mixing": OP3_SQL,
     "op5_suffixes": OP5_SQL,
+    "op7_licenses": _license_sql(),
 }
