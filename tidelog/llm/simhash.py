@@ -180,8 +180,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, budget: int = 2) -> DataFrame:
 
 #: Fingerprints of one key compared with each other in one round of ``similar_groups``; more are split by further bits and looked at again.
 ROUND_CROWD = 1024
-#: Partners of a text verified in each key, by round: few while groups are dense, all at last.
-PARTNERS = (4, 32, None)
+#: Partners of a text verified in each key, by round: the nearest while groups are dense, all at last.
+PARTNERS = (1, 32, None)
 
 
 def key_bits(n: int, similarity: float, miss: float = 0.005) -> tuple[int, int, int]:
