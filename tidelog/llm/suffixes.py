@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ from .induced import descending
 ANCHOR = 24
 #: Text of a block and of a bucket or shard, in bytes, on average.
 BLOCK_BYTES, SHARD_BYTES = 4 << 20, 64 << 20
-#: Text handled at a time.
-STEP = 1 << 21
+#: Text handled at a time, small enough for a core's cache.
+STEP = 1 << 17
 #: Memory for the queues of a shard's sort.
 QUEUE_BYTES = 1 << 27
 LAST = 2**63 - 1
@@ -135,7 +136,7 @@ class Block:
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.Table:
-    types = [pa.binary() if n == "blob" else pa.int32() for n in names]
+    types = [{"blob": pa.binary(), "kind": pa.bool_()}.get(n, pa.int32()) for n in names]
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
@@ -244,7 +245,7 @@ def deduplicate(docs: DataFrame, length: int = 50, texts: bool = False) -> DataF
     heads = d.groupBy("_sha").agg(F.min("_ord").alias("_first"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = tasks(spark)
-    blocks, buckets = max(4 * n, -(-size // BLOCK_BYTES)), max(n, -(-size // SHARD_BYTES))
+    blocks, buckets = max(n, -(-size // BLOCK_BYTES)), max(n, -(-size // SHARD_BYTES))
     one = d.where(F.octet_length("text") >= length).select(F.pmod(F.xxhash64("_ord"), F.lit(blocks)).cast("int").alias("block"), F.col("_ord").alias("ord"), F.col("_sha").alias("sha"), "text")
     one = one.repartition(n, "block")
 
@@ -291,21 +292,28 @@ def deduplicate(docs: DataFrame, length: int = 50, texts: bool = False) -> DataF
 
     def pieces(left: pa.Table, flags: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _rows([], ["bucket", "block", "blob"])
+            return _rows([], ["bucket", "block", "kind", "blob"])
         number = left.column("block")[0].as_py()
         _, b = block_of(left)
-        p, rows = Pieces(b, known(b, flags), length), []
+        marks = known(b, flags)
+        # what is shared goes along, for the block's last step
+        p, rows = Pieces(b, marks, length), [(number % buckets, number, False, np.packbits(marks).tobytes())]
         r, size = b.runs, b.runs.count[p.first] + length - 1
         bucket = (r.hash[p.first] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
             if len(at):
                 f = p.first[at]
-                rows.append((int(bucket[at[0]]), number, _zip(r.hash[f], (r.anchor - r.first)[f].astype(np.uint8), size[at].astype(np.uint8), p.least[at], p.most[at], gather(b.data, r.first[f], size[at]))))
-        return _rows(rows, ["bucket", "block", "blob"])
+                rows.append((int(bucket[at[0]]), number, True, _zip(r.hash[f], (r.anchor - r.first)[f].astype(np.uint8), size[at].astype(np.uint8), p.least[at], p.most[at], gather(b.data, r.first[f], size[at]))))
+        return _rows(rows, ["bucket", "block", "kind", "blob"])
 
     def sorted_out(t: pa.Table) -> pa.Table:
-        bucket, who = t.column("bucket")[0].as_py(), t.column("block").to_pylist()
+        bucket = t.column("bucket")[0].as_py()
+        rows = [(r["block"], bucket, False, r["blob"]) for r in t.filter(pa.compute.invert(t.column("kind"))).to_pylist()]
+        t = t.filter(t.column("kind"))
+        who = t.column("block").to_pylist()
+        if not who:
+            return _rows(rows, ["block", "bucket", "kind", "blob"])
         got = [_unzip(x, np.uint64, np.uint8, np.uint8, np.int64, np.int64, np.uint8) for x in t.column("blob").to_pylist()]
         number = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
         h, anchor, size, least, most = (np.concatenate([g[i] for g in got]).astype(k) for i, k in enumerate((np.uint64, np.int64, np.int64, np.int64, np.int64)))
@@ -337,7 +345,6 @@ def deduplicate(docs: DataFrame, length: int = 50, texts: bool = False) -> DataF
         span, value = np.diff(np.append(lo, len(first))), first[lo]
         offset = lo - (ends - count)[of]
         by_kind = np.searchsorted(of, np.arange(len(head) + 1))
-        rows = []
         for k, block in enumerate(who):
             mine = np.flatnonzero(number == k)
             n = by_kind[kind[mine] + 1] - by_kind[kind[mine]]
@@ -346,12 +353,13 @@ def deduplicate(docs: DataFrame, length: int = 50, texts: bool = False) -> DataF
             use = value[at] < most[mine][index]
             at, index = at[use], index[use]
             if len(at):
-                rows.append((block, bucket, _zip(index.astype(np.int32), offset[at].astype(np.uint8), span[at].astype(np.uint8), value[at])))
-        return _rows(rows, ["block", "bucket", "blob"])
+                rows.append((block, bucket, True, _zip(index.astype(np.int32), offset[at].astype(np.uint8), span[at].astype(np.uint8), value[at])))
+        return _rows(rows, ["block", "bucket", "kind", "blob"])
 
     def removed(left: pa.Table, flags: pa.Table, found: pa.Table) -> Iterator[tuple]:
         t, b = block_of(left)
-        p = Pieces(b, known(b, flags), length)
+        marks = np.unpackbits(np.frombuffer(flags.column("blob")[0].as_py(), np.uint8), count=len(b.hashes)).astype(bool)
+        p = Pieces(b, marks, length)
         r = b.runs
         bucket = (r.hash[p.first] % np.uint64(buckets)).astype(np.int64) if len(p.first) else np.zeros(0, np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -378,9 +386,7 @@ def deduplicate(docs: DataFrame, length: int = 50, texts: bool = False) -> DataF
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         cols: list[list] = [[] for _ in range(6)]
         if left.num_rows:
-            blank = right.slice(0, 0)
-            kind = np.array(right.column("kind").to_pylist(), bool)
-            flags, found = (right.filter(pa.array(kind == k)) if right.num_rows else blank for k in (False, True))
+            flags, found = right.filter(pa.compute.invert(right.column("kind"))), right.filter(right.column("kind"))
             for ord_, sha, text, gone in removed(left, flags, found):
                 keep = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)) == 1)
@@ -391,12 +397,11 @@ def deduplicate(docs: DataFrame, length: int = 50, texts: bool = False) -> DataF
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["ord", "sha", "n_removed", "n_spans", "kept", "left"])
 
     by_block = one.groupBy("block")
-    blob = "bucket int, block int, blob binary"
+    blob, kinds = "bucket int, block int, blob binary", "bucket int, block int, kind boolean, blob binary"
     flags = by_block.applyInArrow(hashes, blob).groupBy("bucket").applyInArrow(shared, "block int, bucket int, blob binary")
-    out = by_block.cogroup(flags.groupBy("block")).applyInArrow(pieces, blob)
-    found = out.groupBy("bucket").applyInArrow(sorted_out, "block int, bucket int, blob binary")
-    back = flags.withColumn("kind", F.lit(False)).unionByName(found.withColumn("kind", F.lit(True)))
-    done = by_block.cogroup(back.groupBy("block")).applyInArrow(finish, "ord long, sha string, n_removed long, n_spans long, kept string, left string")
+    out = by_block.cogroup(flags.groupBy("block")).applyInArrow(pieces, kinds)
+    found = out.groupBy("bucket").applyInArrow(sorted_out, "block int, bucket int, kind boolean, blob binary")
+    done = by_block.cogroup(found.groupBy("block")).applyInArrow(finish, "ord long, sha string, n_removed long, n_spans long, kept string, left string")
 
     # copies of a smaller document lose all; texts that are not short come back from their blocks
     whole = F.octet_length("text") >= length
