@@ -31,6 +31,27 @@ WORDS_KEPT = 400_000
 _encoders: dict[str, Encoder] = {}
 
 
+class Words(dict):
+    """Ids of words, filled as words come up; of those not seen since the last but one filling, nothing is kept."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.before = model, {}
+        # the vocabulary writes a byte that does not print as the next character from 256 on
+        prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.bytes = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in prints)}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.bytes))], "<u4").tobytes()
+        if len(self) >= WORDS_KEPT:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Token ids of a byte-level BPE vocabulary file for the ``tokenizers`` library, as little-endian unsigned 32-bit bytes.
 
@@ -44,7 +65,7 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words: dict[str, bytes] = {}
+        self.words = Words(self.lib.model)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -52,25 +73,10 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        words = list(dict.fromkeys(words))
-        for w, e in zip(words, self.lib.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
-
     def ids(self, text: str) -> bytes:
         if OTHER.search(text):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = PLAIN.findall(text)
-        got = list(map(self.words.get, words))
-        if None in got:
-            self._learn([w for w, g in zip(words, got, strict=True) if g is None])
-            got = [self.words.get(w) for w in words]
-            if None in got:  # the table was emptied meanwhile
-                self._learn(words)
-                got = [self.words[w] for w in words]
-        return b"".join(got)
+        return b"".join(map(self.words.__getitem__, PLAIN.findall(text)))
 
 
 class FreeTree:
