@@ -52,6 +52,12 @@ def simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def second(hashes: np.ndarray) -> int:
+    """Another fingerprint, of the same hashes mixed anew."""
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return simhash(mixed ^ (mixed >> np.uint64(32)))
+
+
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """``doc_id, fp long`` for each row of ``docs``; null text counts as empty."""
 
@@ -184,100 +190,118 @@ ROUND_CROWD = 1024
 PARTNERS = (1, 32, None)
 
 
-def key_bits(n: int, similarity: float, miss: float = 0.005) -> tuple[int, int, int]:
-    """Bits of a key, number of keys and error budget for ``n`` texts, such that of pairs of at least ``similarity`` (Jaccard) at most ``miss`` share no key.
+def key_bits(n: int, similarity: float, miss: float = 0.005) -> tuple[int, int, int, int]:
+    """Bits of a key, number of keys, and error budgets of one and of both fingerprints for ``n`` texts.
 
+    Of pairs of at least ``similarity`` (Jaccard) at most ``miss`` share no key, and the budgets are three standard deviations beyond the mean.
     Shingle sets of Jaccard similarity j have the cosine 2j / (1 + j), and each bit differs with a chance of that angle over pi.
     """
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = int(min(24, max(8, np.ceil(np.log2(max(n, 2))) - 4)))
     keys = int(np.ceil(np.log(miss) / np.log1p(-((1 - differ) ** bits))))
-    return bits, keys, int(np.ceil(64 * differ + 3 * np.sqrt(64 * differ * (1 - differ))))
+    budgets = [int(np.ceil(b * differ + 3 * np.sqrt(b * differ * (1 - differ)))) for b in (64, 128)]
+    return bits, keys, *budgets
 
 
 def candidates(nodes: DataFrame, similarity: float, partners: int | None) -> DataFrame:
-    """Pairs ``(a, b)`` of ``nodes(node, ord, fp)`` that share a key and differ within the budget, and rows ``a = b`` for nodes with more to look at.
+    """Pairs ``(a, b)`` of ``nodes(node, fp, fp2)`` that share a key and differ within the budgets, and rows ``a = b`` for nodes of pairs left out.
 
-    Each node gets its nearest ``partners`` before it in each key (all if None).
+    Each node gets its nearest ``partners`` of those with smaller numbers, in each key (all if None).
     """
     spark = nodes.sparkSession
-    bits, keys, budget = key_bits(nodes.count(), similarity)
+    bits, keys, budget, both = key_bits(nodes.count(), similarity)
     chosen = [np.random.default_rng([8, k]).permutation(64)[: 2 * bits] for k in range(keys)]
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(2).to_numpy().view(np.uint64)
+            fp = b.column(1).to_numpy().view(np.uint64)
             for k, places in enumerate(chosen):
                 grp = np.full(len(fp), k << 32, np.int64)
                 for i, p in enumerate(places[:bits].tolist()):
                     grp |= ((fp >> np.uint64(p)) & np.uint64(1)).astype(np.int64) << i
-                yield pa.RecordBatch.from_arrays([pa.array(grp), *b.columns], ["grp", "node", "ord", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(grp), *b.columns], ["grp", "node", "fp", "fp2"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not cols:
             return
-        grp, node, ord_, fp = (np.concatenate(x) for x in zip(*cols, strict=True))
-        fp = fp.view(np.uint64)
-        order = np.lexsort((node, ord_, fp, grp))
-        grp, node, ord_, fp = grp[order], node[order], ord_[order], fp[order]
+        grp, node, fp, fp2 = (np.concatenate(x) for x in zip(*cols, strict=True))
+        fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)
         more: list[np.ndarray] = []
-        size = np.bincount(np.unique(grp, return_inverse=True)[1])
-        if partners is not None and len(size) and size.max() > ROUND_CROWD:
-            crowded = np.repeat(size, size) > ROUND_CROWD
+        _, of_group, size = np.unique(grp, return_inverse=True, return_counts=True)
+        crowded = size[of_group] > ROUND_CROWD
+        if partners is not None and crowded.any():
             more.append(node[crowded])
             grp = grp.copy()
             for i in np.flatnonzero(crowded).tolist():
                 places = chosen[int(grp[i]) >> 32][bits:].tolist()
                 grp[i] = hash((int(grp[i]), *[(int(fp[i]) >> p) & 1 for p in places]))
-            order = np.lexsort((node, ord_, fp, grp))
-            grp, node, ord_, fp = grp[order], node[order], ord_[order], fp[order]
+        order = np.lexsort((node, fp, grp))
+        grp, node, fp, fp2 = grp[order], node[order], fp[order], fp2[order]
         # the trie has each fingerprint once; later texts with it are paired with the first
         same = np.concatenate(([False], (grp[1:] == grp[:-1]) & (fp[1:] == fp[:-1])))
         head = np.flatnonzero(~same)
-        of = head[np.cumsum(~same) - 1]
-        parts = [(np.flatnonzero(same), of[same])]
-        g, v = grp[head], fp[head]
-        for s in batched(g, 16384):
-            x, y = trie_pairs(v[s], g[s], budget)
-            parts.append((head[s][x], head[s][y]))
+        parts = [(np.flatnonzero(same), head[np.cumsum(~same) - 1][same])]
+        for s in batched(grp[head], 16384):
+            x, y = trie_pairs(fp[head][s], grp[head][s], budget)
+            x, y = head[s][x], head[s][y]
+            close = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64) + np.bitwise_count(fp2[x] ^ fp2[y]) <= both
+            parts.append((x[close], y[close]))
         x, y = (np.concatenate(z) for z in zip(*parts, strict=True))
-        later = np.lexsort((node, ord_))
-        place = np.empty(len(node), np.int64)
-        place[later] = np.arange(len(node))
-        x, y = np.where(place[x] > place[y], x, y), np.where(place[x] > place[y], y, x)
+        x, y = np.where(node[x] > node[y], x, y), np.where(node[x] > node[y], y, x)
         if partners is not None and len(x):
-            by = np.lexsort((place[y], np.bitwise_count(fp[x] ^ fp[y]), x))
+            apart = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64) + np.bitwise_count(fp2[x] ^ fp2[y])
+            by = np.lexsort((node[y], apart, x))
             x, y = x[by], y[by]
             first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
             rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
-            more.append(node[x[rank >= partners]])
+            more += [node[x[rank >= partners]], node[y[rank >= partners]]]
             x, y = x[rank < partners], y[rank < partners]
         again = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
         for i in range(0, len(x), 65536):
             yield pa.RecordBatch.from_arrays([pa.array(node[x[i : i + 65536]]), pa.array(node[y[i : i + 65536]])], ["a", "b"])
         yield pa.RecordBatch.from_arrays([pa.array(again), pa.array(again)], ["a", "b"])
 
-    f = nodes.select("node", "ord", "fp").mapInArrow(filed, "grp long, node long, ord long, fp long")
+    f = nodes.select("node", "fp", "fp2").mapInArrow(filed, "grp long, node long, fp long, fp2 long")
     return f.repartition(4 * tasks(spark), "grp").mapInArrow(joined, "a long, b long").distinct()
 
 
+#: Bits of the filter that keeps texts no pair needs from being shuffled: 2 MB, however many texts there are. Full, it lets all of them pass.
+FILTER_BITS = 24
+
+
+def _needed(need: DataFrame) -> np.ndarray:
+    """A bit for each hash of ``need(node)``: at most 2 ** (FILTER_BITS - 6) words."""
+    spot = F.shiftrightunsigned(F.xxhash64("node"), 64 - FILTER_BITS)
+    words = need.select(spot.alias("spot")).select(F.shiftrightunsigned("spot", 6).alias("word"), F.col("spot").bitwiseAND(F.lit(63)).cast("int").alias("n"))
+    got = words.selectExpr("word", "shiftleft(1L, n) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    for r in got:
+        out[r["word"]] = np.int64(r["bits"]).view(np.uint64)
+    return out
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose ``texts(node, text)`` have shingle sets of at least ``similarity``."""
     need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    marks = pairs.sparkSession.sparkContext.broadcast(_needed(need))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [np.unique(shingle_hashes(t.as_py() or "", k)).tobytes() for t in b.column(1)]
+            spot = b.column(2).to_numpy().view(np.uint64)
+            use = (marks.value[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
+            b = b.filter(pa.array(use))
+            x = [np.unique((shingle_hashes(t.as_py() or "", k) >> np.uint64(32)).astype("<u4")).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["node", "set"])
 
-    s = texts.join(need, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
+    spotted = texts.select("node", "text", F.shiftrightunsigned(F.xxhash64("node"), 64 - FILTER_BITS).alias("spot"))
+    s = spotted.mapInArrow(sets, "node long, set binary").join(need, "node", "left_semi").dropDuplicates(["node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                p, q = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(common >= similarity * (len(p) + len(q) - common))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -291,7 +315,7 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
 
     Texts link when their sets of ``k``-word shingles have a Jaccard similarity of at least ``similarity``; of each group
     linked the document with the least ``doc_id`` stays. Candidates come from SimHash fingerprints of the shingles, joined by tries under as many keys
-    as it takes to miss half a percent of links at the bound; all are verified on the texts. Dense groups are thinned first, with few partners
+    as it takes to miss about one percent of links at the bound (half a percent by the keys, the rest by the budgets); all are verified on the texts. Dense groups are thinned first, with few partners
     for each text, before what is left is compared without that limit: no candidate is left unverified.
 
     Defined cases: null and empty texts are alike; fewer than ``k`` words are one shingle; a null ``doc_id`` counts as
@@ -302,21 +326,25 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash(shingle_hashes(t.as_py() or "", k)) for t in b.column(2)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["node", "ord", "fp"])
+            hashes = [shingle_hashes(t.as_py() or "", k) for t in b.column(2)]
+            one, two = (pa.array(np.array([f(h) for h in hashes], np.uint64).view(np.int64)) for f in (simhash, second))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), one, two], ["node", "ord", "fp", "fp2"])
 
-    f = d.select(F.col("_node"), F.col("_ord"), "text").mapInArrow(run, "node long, ord long, fp long")
-    nodes = cut(f.groupBy("node").agg(F.min("ord").alias("ord"), F.first("fp").alias("fp")))
+    f = d.select(F.col("_node"), F.col("_ord"), "text").mapInArrow(run, "node long, ord long, fp long, fp2 long")
+    nodes = cut(f.groupBy("node").agg(F.min("ord").alias("ord"), F.max("fp").alias("fp"), F.max("fp2").alias("fp2")))
+    active = nodes
     texts = d.select(F.col("_node").alias("node"), "text")
     for partners in PARTNERS:
-        found = cut(candidates(nodes, similarity, partners))
+        found = cut(candidates(active, similarity, partners))
         links = cut(verified(found.where("a <> b"), texts, k, similarity))
         comp = components(links)
         ranked = nodes.join(comp, "node").select("node", "comp", "ord")
         best = ranked.groupBy("comp").agg(F.min(F.struct("ord", "node")).alias("best"))
         drop = ranked.join(best, "comp").where(F.col("node") != F.col("best.node")).select("node")
         nodes = cut(nodes.join(drop, "node", "left_anti"))
-        if found.where("a = b").limit(1).count() == 0:
+        # only pairs of nodes that were left out are still to be looked at
+        active = cut(nodes.join(found.where("a = b").select(F.col("a").alias("node")), "node", "left_semi"))
+        if active.isEmpty():
             break
     stay = nodes.select(F.col("node").alias("_n"), F.col("ord").alias("_o"))
     out = d.join(stay, (d["_node"] == stay["_n"]) & (d["_ord"] == stay["_o"]))
