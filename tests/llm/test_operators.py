@@ -421,6 +421,33 @@ def test_similar_groups(spark, docs, none):
     assert simhash.similar_groups(none).count() == 0
 
 
+def kept(spark, texts, k=5):
+    """Documents that stay, from the operator and by brute force."""
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    adj = [[j for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)] for a in sets]
+    df = spark.createDataFrame([(i, t, *["x"] * 8) for i, t in enumerate(texts)], DOCS).repartition(4)
+    return sorted(r["doc_id"] for r in simhash.similar_groups(df, k).collect()), sorted(set(reach(adj)))
+
+
+def test_similar_groups_hub_and_chain(spark):
+    rng = np.random.default_rng(10)
+    hub = [f"h{x}" for x in range(200)]
+    texts = []
+    for i in range(300):  # copies near the hub, but hardly any near another
+        w = list(hub)
+        for at in rng.choice(40, 4, replace=False):
+            w[5 * int(at) + 2] = f"own{i}x{at}"
+        texts.append(" ".join(w))
+    texts.insert(150, " ".join(hub))
+    texts += [" ".join(f"c{x}" for x in range(6 * i, 6 * i + 100)) for i in range(300)]  # each near the next only
+    got, want = kept(spark, texts)
+    assert want == [0, 301]
+    assert got == want
+
+
 # ---- 9
 
 

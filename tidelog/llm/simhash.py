@@ -7,6 +7,8 @@ Pairs of nodes with one fingerprint each are finished at once from their remaini
 Distribution: every fingerprint is filed under several keys made of some of its bits, each with its own trie below. For a
 small budget the keys are such that two fingerprints within it agree on at least one key (pigeonhole), so no
 link is lost; keys that too many fingerprints share are split by further keys below, again without loss.
+
+``similar_groups`` works on the shingle sets themselves: texts are filed under their rarest shingles (prefix filtering), which loses no pair either.
 """
 
 from __future__ import annotations
@@ -52,12 +54,6 @@ def simhash(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def second(hashes: np.ndarray) -> int:
-    """Another fingerprint, of the same hashes mixed anew."""
-    mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return simhash(mixed ^ (mixed >> np.uint64(32)))
-
-
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """``doc_id, fp long`` for each row of ``docs``; null text counts as empty."""
 
@@ -184,86 +180,209 @@ def near_duplicates(docs: DataFrame, k: int = 3, budget: int = 2) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of one key compared with each other in one round of ``similar_groups``; more are split by further bits and looked at again.
-ROUND_CROWD = 1024
-#: Partners of a text verified in each key, by round: the nearest while groups are dense, all at last.
-PARTNERS = (1, 32, None)
+#: Texts that may share a token before they are compared in blocks instead of pair by pair.
+DENSE = 128
+#: Texts of a block.
+BLOCK = 256
+#: One text in so many tells which shingles are common, and so many of these are told apart at most.
+SAMPLE, COMMON = 16, 1 << 20
+#: Token of texts without shingles, all of which are alike.
+EMPTY = -1
 
 
-def key_bits(n: int, similarity: float, miss: float = 0.005) -> tuple[int, int, int, int]:
-    """Bits of a key, number of keys, and error budgets of one and of both fingerprints for ``n`` texts.
+def common_shingles(nodes: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found more than twice in a sample of ``nodes(node, text)``, sorted, and how often.
 
-    Of pairs of at least ``similarity`` (Jaccard) at most ``miss`` share no key, and the budgets are three standard deviations beyond the mean.
-    Shingle sets of Jaccard similarity j have the cosine 2j / (1 + j), and each bit differs with a chance of that angle over pi.
+    They only order shingles, so that texts are filed under rare ones: no result depends on the sample.
     """
-    differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = int(min(24, max(8, np.ceil(np.log2(max(n, 2))) - 4)))
-    keys = int(np.ceil(np.log(miss) / np.log1p(-((1 - differ) ** bits))))
-    budgets = [int(np.ceil(b * differ + 3 * np.sqrt(b * differ * (1 - differ)))) for b in (64, 128)]
-    return bits, keys, *budgets
-
 
-def candidates(nodes: DataFrame, similarity: float, partners: int | None) -> DataFrame:
-    """Pairs ``(a, b)`` of ``nodes(node, fp, fp2)`` that share a key and differ within the budgets, and rows ``a = b`` for nodes of pairs left out.
-
-    Each node gets its nearest ``partners`` of those with smaller numbers, in each key (all if None).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py() or "", k)) for t in b.column(0)]
+            if sets:
+                u, c = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], ["tok", "c"])
+
+    some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, min(SAMPLE, n // 4096)))) == 0).select("text")
+    top = some.mapInArrow(run, "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c")).where("c > 2").orderBy(F.desc("c"), "tok").limit(COMMON).toPandas()
+    tok, c = top["tok"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    order = np.argsort(tok)
+    return tok[order], c[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest of sorted, distinct ``shingles``, as many as make two sets of at least ``similarity`` share one."""
+    n = len(shingles)
+    tok, c = common
+    often = np.zeros(n, np.int64)
+    if len(tok):
+        at = np.minimum(np.searchsorted(tok, shingles), len(tok) - 1)
+        often = np.where(tok[at] == shingles, c[at], 0)
+    return shingles[np.argsort(often, kind="stable")[: n - int(np.ceil(similarity * n - 1e-6)) + 1]]
+
+
+def candidates(nodes: DataFrame, n: int, k: int, similarity: float) -> DataFrame:
+    """Rows ``(a, b, need, times)`` of ``nodes(node, text)``: pairs and how many tokens they share in the task; ``need`` -1 for texts of a crowded token and the first of them.
+
+    Every pair of at least ``similarity`` shares a token. Either that token is crowded, or all that the two share are counted, and they are at least ``need``:
+    what is common to both is among these or among what the one whose prefix ends first has left.
     """
     spark = nodes.sparkSession
-    bits, keys, budget, both = key_bits(nodes.count(), similarity)
-    chosen = [np.random.default_rng([8, k]).permutation(64)[: 2 * bits] for k in range(keys)]
+    common = spark.sparkContext.broadcast(common_shingles(nodes, n, k))
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            fp = b.column(1).to_numpy().view(np.uint64)
-            for k, places in enumerate(chosen):
-                grp = np.full(len(fp), k << 32, np.int64)
-                for i, p in enumerate(places[:bits].tolist()):
-                    grp |= ((fp >> np.uint64(p)) & np.uint64(1)).astype(np.int64) << i
-                yield pa.RecordBatch.from_arrays([pa.array(grp), *b.columns], ["grp", "node", "fp", "fp2"])
+            new = []
+            for x in b.column(0).to_pylist():
+                new.append(x not in seen)
+                seen.add(x)
+            b = b.filter(pa.array(new, pa.bool_()))
+            sets = [np.unique(shingle_hashes(t.as_py() or "", k)) for t in b.column(1)]
+            for lo in range(0, len(sets), 512):
+                some = sets[lo : lo + 512]
+                toks = [prefix(x, common.value, similarity).view(np.int64) if len(x) else np.array([EMPTY]) for x in some]
+                times = [len(t) for t in toks]
+                node = np.repeat(b.column(0).to_numpy()[lo : lo + 512], times)
+                size = np.repeat(np.array([len(x) for x in some], np.int32), times)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(node), pa.array(size)], ["tok", "node", "size"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not cols:
             return
-        grp, node, fp, fp2 = (np.concatenate(x) for x in zip(*cols, strict=True))
-        fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)
-        more: list[np.ndarray] = []
-        _, of_group, size = np.unique(grp, return_inverse=True, return_counts=True)
-        crowded = size[of_group] > ROUND_CROWD
-        if partners is not None and crowded.any():
-            more.append(node[crowded])
-            grp = grp.copy()
-            for i in np.flatnonzero(crowded).tolist():
-                places = chosen[int(grp[i]) >> 32][bits:].tolist()
-                grp[i] = hash((int(grp[i]), *[(int(fp[i]) >> p) & 1 for p in places]))
-        order = np.lexsort((node, fp, grp))
-        grp, node, fp, fp2 = grp[order], node[order], fp[order], fp2[order]
-        # the trie has each fingerprint once; later texts with it are paired with the first
-        same = np.concatenate(([False], (grp[1:] == grp[:-1]) & (fp[1:] == fp[:-1])))
-        head = np.flatnonzero(~same)
-        parts = [(np.flatnonzero(same), head[np.cumsum(~same) - 1][same])]
-        for s in batched(grp[head], 16384):
-            x, y = trie_pairs(fp[head][s], grp[head][s], budget)
-            x, y = head[s][x], head[s][y]
-            close = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64) + np.bitwise_count(fp2[x] ^ fp2[y]) <= both
-            parts.append((x[close], y[close]))
-        x, y = (np.concatenate(z) for z in zip(*parts, strict=True))
-        x, y = np.where(node[x] > node[y], x, y), np.where(node[x] > node[y], y, x)
-        if partners is not None and len(x):
-            apart = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64) + np.bitwise_count(fp2[x] ^ fp2[y])
-            by = np.lexsort((node[y], apart, x))
-            x, y = x[by], y[by]
-            first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
-            rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
-            more += [node[x[rank >= partners]], node[y[rank >= partners]]]
-            x, y = x[rank < partners], y[rank < partners]
-        again = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
-        for i in range(0, len(x), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(node[x[i : i + 65536]]), pa.array(node[y[i : i + 65536]])], ["a", "b"])
-        yield pa.RecordBatch.from_arrays([pa.array(again), pa.array(again)], ["a", "b"])
-
-    f = nodes.select("node", "fp", "fp2").mapInArrow(filed, "grp long, node long, fp long, fp2 long")
-    return f.repartition(4 * tasks(spark), "grp").mapInArrow(joined, "a long, b long").distinct()
+        tok, node, size = (np.concatenate(x) for x in zip(*cols, strict=True))
+        order = np.lexsort((node, tok))
+        tok, node = tok[order], node[order]
+        once = np.concatenate(([True], (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])))  # copies of a text in other tasks
+        tok, node, size = tok[once], node[once], size[order][once].astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+        of = np.diff(np.append(first, len(tok)))
+        start, crowd = np.repeat(first, of), np.repeat(of > DENSE, of)
+        hub = node[start]
+        for i in range(0, len(tok), 1 << 20):
+            c = crowd[i : i + (1 << 20)]
+            a, b = node[i : i + (1 << 20)][c], hub[i : i + (1 << 20)][c]
+            yield rows(a, b, np.full(len(a), -1), np.ones(len(a), np.int64))
+        rest = np.ceil(similarity * size - 1e-6).astype(np.int64) - 1
+        held: list[tuple] = []
+        for step in range(1, DENSE):
+            x = np.flatnonzero(~crowd[:-step] & (tok[step:] == tok[:-step])) if step < len(tok) else np.zeros(0, np.int64)
+            if not len(x):
+                break
+            y = x + step
+            ok = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-6
+            x, y = x[ok], y[ok]
+            need = np.ceil(similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6).astype(np.int64) - np.maximum(rest[x], rest[y])
+            held.append((node[x], node[y], np.maximum(need, 0)))
+            if sum(len(h[0]) for h in held) > 1 << 20:
+                yield tallied(held)
+                held = []
+        if held:
+            yield tallied(held)
+
+    def tallied(held: list[tuple]) -> pa.RecordBatch:
+        a, b, need = (np.concatenate(z) for z in zip(*held, strict=True))
+        by = np.lexsort((b, a))
+        a, b, need = a[by], b[by], need[by]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+        return rows(a[first], b[first], need[first], np.diff(np.append(first, len(a))))
+
+    def rows(*x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in x], ["a", "b", "need", "times"])
+
+    f = nodes.select("node", "text").mapInArrow(filed, "tok long, node long, size int")
+    return f.repartition(4 * tasks(spark), "tok").mapInArrow(joined, "a long, b long, need long, times long")
+
+
+def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Positions ``(x, y)``, ``left[x]`` and ``right[y]``, of sets of at least ``similarity``: exact, by a product of their incidence matrices."""
+    size = np.array([len(s) for s in sets], np.int64)
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    own = np.repeat(np.arange(len(sets)), size)
+    place = np.cumsum(often > 1) - 1  # of shingles that two have
+    keep = often[at] > 1
+    own, at = own[keep], place[at[keep]]
+    by = np.argsort(at, kind="stable")
+    own, at = own[by], at[by]
+    common = np.zeros((int(left.sum()), int(right.sum())), np.float64)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        i, j = np.searchsorted(at, (lo, lo + 4096))
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[own[i:j], at[i:j] - lo] = 1
+        common += m[left] @ m[right].T
+    hit = common >= similarity * (size[left][:, None] + size[right][None, :] - common)
+    x, y = np.nonzero(hit)
+    return list(zip(np.flatnonzero(left)[x].tolist(), np.flatnonzero(right)[y].tolist(), strict=True))
+
+
+def _compared(blocks: DataFrame, similarity: float, n: int) -> DataFrame:
+    """Links ``(a, b)`` that connect the texts of each block pair ``blocks(p, i, q, j, own, part, node, set)`` as all their links do: a star for each set connected.
+
+    ``part`` and ``own`` name the block that a row belongs to.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def group(g: list) -> pa.RecordBatch:
+            block = np.array([r[4:6] == (r[0], r[1]) for r in g])
+            other = np.array([r[4:6] == (r[2], r[3]) for r in g])
+            root = star(len(g), block_links([np.frombuffer(r[7], "<u4") for r in g], block, other, similarity))
+            hit = [(g[x][6], g[r][6]) for x, r in enumerate(root) if x != r]
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in hit], pa.int64()), pa.array([h[1] for h in hit], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held and held[0][:4] != r[:4]:
+                    yield group(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield group(held)
+
+    g = blocks.repartition(n, "p", "i", "q", "j").sortWithinPartitions("p", "i", "q", "j")
+    return g.select("p", "i", "q", "j", "part", "own", "node", "set").mapInArrow(run, "a long, b long")
+
+
+def dense_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that connect ``members(node, comp, set)`` of each ``comp`` just as all pairs of at least ``similarity`` do.
+
+    Texts are parted by size, as only sizes of a ratio of at least ``similarity`` can link. They are first compared within blocks dealt at random, twice,
+    which joins most of a large group. Then all pairs of blocks are compared, but those of texts that are known to be in one group.
+    """
+    n = tasks(members.sparkSession)
+    size = F.greatest(F.length("set") / 4, F.lit(1))
+    m = cut(members.withColumn("band", F.floor(F.log(size) / float(-np.log(similarity) * 1.0001))).withColumn("part", F.xxhash64("comp", "band")))
+    blocks = m.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+    edges = None
+    for salt in (0, 1):
+        own = m.join(blocks, "part").withColumn("own", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("nb")))
+        own = own.select(F.col("part").alias("p"), F.col("own").alias("i"), F.col("part").alias("q"), F.col("own").alias("j"), "own", "part", "node", "set")
+        one = _compared(own, similarity, n)
+        edges = one if edges is None else edges.unionByName(one)
+    edges = cut(edges.distinct())
+    m = m.join(components(edges).select("node", F.col("comp").alias("root")), "node", "left")
+    large = m.groupBy("comp", "band", "root").count().where(F.col("root").isNotNull() & (F.col("count") >= BLOCK)).select("comp", "band", "root", F.lit(True).alias("large"))
+    m = m.join(large, ["comp", "band", "root"], "left").withColumn("root", F.when(F.col("large"), F.col("root")))
+    m = cut(m.select("node", "comp", "band", "root", F.xxhash64("comp", "band", F.coalesce("root", F.lit(0)), F.col("root").isNull()).alias("part"), "set"))
+    parts = cut(m.groupBy("comp", "band", "root", "part").agg(F.ceil(F.count("*") / BLOCK).alias("nb")))
+    x, y = (parts.select(*[F.col(c).alias(f"{side}_{c}") for c in parts.columns]) for side in "xy")
+    step = F.col("y_band") - F.col("x_band")
+    met = x.join(y, (F.col("x_comp") == F.col("y_comp")) & ((step == 1) | ((step == 0) & (F.col("x_part") <= F.col("y_part")))))
+    met = met.where("x_root is null or y_root is null or x_root <> y_root").select(F.col("x_part").alias("p"), F.col("y_part").alias("q"), F.col("x_nb").alias("p_nb"), F.col("y_nb").alias("q_nb"))
+    met = cut(met)
+    mine = m.join(parts.select("part", "nb"), "part").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb"))).select("part", "own", "node", "set")
+
+    def others(nb: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(nb) - 1)).alias("other")
+
+    own = F.col("own").alias("i")
+    first = mine.join(met.where("p <> q"), mine["part"] == met["p"]).select("p", own, "q", others("q_nb"), "own", "part", "node", "set").withColumnRenamed("other", "j")
+    second = mine.join(met.where("p <> q"), mine["part"] == met["q"]).select("p", others("p_nb"), "q", F.col("own").alias("j"), "own", "part", "node", "set").withColumnRenamed("other", "i")
+    same = mine.join(met.where("p = q"), mine["part"] == met["p"]).select("p", "q", others("p_nb"), "own", "part", "node", "set")
+    same = same.select("p", F.least("own", "other").alias("i"), "q", F.greatest("own", "other").alias("j"), "own", "part", "node", "set")
+    return edges.unionByName(_compared(first.unionByName(second).unionByName(same), similarity, n))
 
 
 #: Bits of the filter that keeps texts no pair needs from being shuffled: 2 MB, however many texts there are. Full, it lets all of them pass.
@@ -281,10 +400,9 @@ def _needed(need: DataFrame) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose ``texts(node, text)`` have shingle sets of at least ``similarity``."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    marks = pairs.sparkSession.sparkContext.broadcast(_needed(need))
+def shingle_sets(need: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """``node, set`` of the ``texts(node, text)`` in ``need(node)``, which are distinct: sorted shingles, four bytes each."""
+    marks = need.sparkSession.sparkContext.broadcast(_needed(need))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -295,7 +413,12 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["node", "set"])
 
     spotted = texts.select("node", "text", F.shiftrightunsigned(F.xxhash64("node"), 64 - FILTER_BITS).alias("spot"))
-    s = spotted.mapInArrow(sets, "node long, set binary").join(need, "node", "left_semi").dropDuplicates(["node"])
+    return spotted.mapInArrow(sets, "node long, set binary").join(need, "node", "left_semi").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose ``texts(node, text)`` have shingle sets of at least ``similarity``."""
+    s = shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), texts, k)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -314,39 +437,28 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
     """One document of each group of texts alike: rows of ``docs`` that stay, all columns as they are.
 
     Texts link when their sets of ``k``-word shingles have a Jaccard similarity of at least ``similarity``; of each group
-    linked the document with the least ``doc_id`` stays. Candidates come from SimHash fingerprints of the shingles, joined by tries under as many keys
-    as it takes to miss about one percent of links at the bound (half a percent by the keys, the rest by the budgets); all are verified on the texts. Dense groups are thinned first, with few partners
-    for each text, before what is left is compared without that limit: no candidate is left unverified.
+    linked the document with the least ``doc_id`` stays. Texts are filed under so many of their rarest shingles that any two that link share one, so no link is missed;
+    pairs that share enough of them are verified on the texts. Texts under a crowded shingle are compared in blocks. No text goes before all pairs are verified.
 
     Defined cases: null and empty texts are alike; fewer than ``k`` words are one shingle; a null ``doc_id`` counts as
     the largest; of rows repeated exactly one stays; an empty table gives an empty result.
     """
     last = 2**63 - 1
     d = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(last)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hashes = [shingle_hashes(t.as_py() or "", k) for t in b.column(2)]
-            one, two = (pa.array(np.array([f(h) for h in hashes], np.uint64).view(np.int64)) for f in (simhash, second))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), one, two], ["node", "ord", "fp", "fp2"])
-
-    f = d.select(F.col("_node"), F.col("_ord"), "text").mapInArrow(run, "node long, ord long, fp long, fp2 long")
-    nodes = cut(f.groupBy("node").agg(F.min("ord").alias("ord"), F.max("fp").alias("fp"), F.max("fp2").alias("fp2")))
-    active = nodes
+    nodes = cut(d.groupBy(F.col("_node").alias("node")).agg(F.min("_ord").alias("ord")))
     texts = d.select(F.col("_node").alias("node"), "text")
-    for partners in PARTNERS:
-        found = cut(candidates(active, similarity, partners))
-        links = cut(verified(found.where("a <> b"), texts, k, similarity))
-        comp = components(links)
-        ranked = nodes.join(comp, "node").select("node", "comp", "ord")
-        best = ranked.groupBy("comp").agg(F.min(F.struct("ord", "node")).alias("best"))
-        drop = ranked.join(best, "comp").where(F.col("node") != F.col("best.node")).select("node")
-        nodes = cut(nodes.join(drop, "node", "left_anti"))
-        # only pairs of nodes that were left out are still to be looked at
-        active = cut(nodes.join(found.where("a = b").select(F.col("a").alias("node")), "node", "left_semi"))
-        if active.isEmpty():
-            break
-    stay = nodes.select(F.col("node").alias("_n"), F.col("ord").alias("_o"))
+    found = cut(candidates(texts, nodes.count(), k, similarity))
+    pairs = found.where("need >= 0 and a <> b").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b")
+    links = cut(verified(cut(pairs), texts, k, similarity))
+    crowds = found.where("need < 0").select("a", "b").distinct()
+    if not crowds.isEmpty():
+        comp = cut(components(crowds))
+        links = links.unionByName(dense_links(shingle_sets(comp.select("node"), texts, k).join(comp, "node"), similarity))
+    comp = components(links)
+    ranked = nodes.join(comp, "node").select("node", "comp", "ord")
+    best = ranked.groupBy("comp").agg(F.min(F.struct("ord", "node")).alias("best"))
+    drop = ranked.join(best, "comp").where(F.col("node") != F.col("best.node")).select("node")
+    stay = nodes.join(drop, "node", "left_anti").select(F.col("node").alias("_n"), F.col("ord").alias("_o"))
     out = d.join(stay, (d["_node"] == stay["_n"]) & (d["_ord"] == stay["_o"]))
     out = out.withColumn("_row", F.row_number().over(Window.partitionBy("_node", "_ord").orderBy(F.lit(1)))).where("_row = 1")
     return out.select(*docs.columns)
