@@ -448,6 +448,37 @@ def test_similar_groups_hub_and_chain(spark):
     assert got == want
 
 
+def test_similar_groups_at_the_bound(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(400):  # 4 of 5 shingles
+        w = [f"s{i}x{j}" for j in range(9)]
+        texts += [" ".join(w), " ".join(w[:8])]
+    for i in range(150):  # 80 to 83 of 100 shingles, in texts that share a header
+        w = [f"l{i}x{j}" for j in range(104 - 60)]
+        head = [f"head{j}" for j in range(60)]
+        texts += [" ".join(head + w), " ".join(head + w[: len(w) - int(rng.integers(14, 21))])]
+    got, want = kept(spark, texts)
+    assert got == want
+
+
+def test_similar_groups_in_crowds(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = []
+    for i in range(3):
+        w = [f"f{i}x{j}" for j in range(150)]
+        for _ in range(60):  # some within the bound, some beyond, of several sizes
+            v = list(w[: int(rng.integers(100, 151))])
+            for at in rng.integers(0, len(v), int(rng.integers(0, 6))):
+                v[at] = f"n{rng.integers(10**9)}"
+            texts.append(" ".join(v))
+    monkeypatch.setattr(simhash, "DENSE", 4)
+    for block in (8, 256):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got, want = kept(spark, texts)
+        assert got == want and len(want) > 3
+
+
 # ---- 9
 
 
