@@ -87,6 +87,26 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_a_crowd(spark):
+    rng = np.random.default_rng(3)
+    n, dim = 6000, 64
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[: n // 2] = np.sqrt(0.7) * x[-1] + np.sqrt(0.3) * x[: n // 2]  # round one centre, below the bound of each other
+    for i in range(0, n - 600, 9):  # pairs just within the bound, in the crowd and outside
+        a = x[i] / np.linalg.norm(x[i])
+        side = rng.normal(size=dim)
+        side -= side @ a * a
+        x[i + 1] = 0.955 * a + np.sqrt(1 - 0.955**2) * side / np.linalg.norm(side)
+    x[-50:-1] = x[-50] + 0.02 * rng.normal(size=(49, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links = x @ x.T >= 0.95
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+    comp = reach([np.flatnonzero(r).tolist() for r in links])
+    assert got == {i: (int(links[i].sum()) - 1, comp[i]) for i in range(n)}
+
+
 # ---- 2
 
 
