@@ -499,6 +499,18 @@ def test_similar_groups_in_crowds(spark, monkeypatch):
         assert got == want and len(want) > 3
 
 
+def test_similar_groups_of_equal_fingerprints(spark):
+    texts = []
+    for i in range(6):  # a repeated line fixes all bits, and two of eight are alike
+        line = " ".join(f"line{i}x{j}" for j in range(9)) + " "
+        texts += [line * 100 + " ".join(f"head{i}x{k}x{j}" for j in range(80)) for k in range(6)]
+        texts += [line * 100 + " ".join(f"own{i}x{j}" for j in range(80)) + end for end in (" one", " two")]
+    fps = [simhash.simhash(simhash.shingle_hashes(t, 5)) for t in texts]
+    assert len(set(fps)) == 6
+    got, want = kept(spark, texts)
+    assert len(want) == 42 and got == want
+
+
 # ---- 9
 
 
