@@ -511,6 +511,13 @@ def test_similar_groups_of_equal_fingerprints(spark):
     assert len(want) == 42 and got == want
 
 
+def test_similar_groups_of_other_repeats(spark):
+    line = " ".join(f"line{j}" for j in range(9)) + " "
+    texts = [line * n + " ".join(f"own{i}x{j}" for j in range(300)) for i in range(5) for n in (100, 3, 40)]
+    got, want = kept(spark, texts)
+    assert want == [0, 3, 6, 9, 12] and got == want
+
+
 # ---- 9
 
 
