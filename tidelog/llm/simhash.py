@@ -238,9 +238,8 @@ def candidates(nodes: DataFrame, n: int, k: int, similarity: float) -> DataFrame
                 new.append(x not in seen)
                 seen.add(x)
             b = b.filter(pa.array(new, pa.bool_()))
-            sets = [np.unique(shingle_hashes(t.as_py() or "", k)) for t in b.column(1)]
-            for lo in range(0, len(sets), 512):
-                some = sets[lo : lo + 512]
+            for lo in range(0, b.num_rows, 512):
+                some = [np.unique(shingle_hashes(t.as_py() or "", k)) for t in b.column(1)[lo : lo + 512]]
                 toks = [prefix(x, common.value, similarity).view(np.int64) if len(x) else np.array([EMPTY]) for x in some]
                 times = [len(t) for t in toks]
                 node = np.repeat(b.column(0).to_numpy()[lo : lo + 512], times)
@@ -409,8 +408,9 @@ def shingle_sets(need: DataFrame, texts: DataFrame, k: int) -> DataFrame:
             spot = b.column(2).to_numpy().view(np.uint64)
             use = (marks.value[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
             b = b.filter(pa.array(use))
-            x = [np.unique((shingle_hashes(t.as_py() or "", k) >> np.uint64(32)).astype("<u4")).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["node", "set"])
+            for lo in range(0, b.num_rows, 512):
+                x = [np.unique((shingle_hashes(t.as_py() or "", k) >> np.uint64(32)).astype("<u4")).tobytes() for t in b.column(1)[lo : lo + 512]]
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + 512], pa.array(x, pa.binary())], ["node", "set"])
 
     spotted = texts.select("node", "text", F.shiftrightunsigned(F.xxhash64("node"), 64 - FILTER_BITS).alias("spot"))
     return spotted.mapInArrow(sets, "node long, set binary").join(need, "node", "left_semi").dropDuplicates(["node"])
