@@ -4,10 +4,12 @@ import collections
 import hashlib
 import math
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from tidelog.llm import embeddings, fingerprints, induced, langid, licenses, mixing, packing, quality, simhash, suffixes, urls
 from tidelog.llm.queries import vocabulary
@@ -541,28 +543,65 @@ def test_fingerprints(docs, none):
         k = len(t) // 3
         edited = t[: len(t) - k] + n[:k]
         assert by[a]["n_chars"] == len(t) and by[a]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert abs(by[a]["near_edited"] - jaccard(shingles(t), shingles(edited))) < 0.3
-        assert abs(by[a]["near_next"] - jaccard(shingles(t), shingles(n))) < 0.3
+        assert abs(by[a]["near_edited"] - jaccard(shingles(t), shingles(edited))) < 0.4
+        assert abs(by[a]["near_next"] - jaccard(shingles(t), shingles(n))) < 0.4
     assert by[0]["fingerprint"] == by[2]["fingerprint"] and by[3]["fingerprint"] == by[4]["fingerprint"] == by[5]["fingerprint"]
     assert fingerprints.fingerprint(none).count() == 0
     one = fingerprints.fingerprint(docs.where("doc_id = 1")).first()
     assert one["near_next"] == 1.0
 
 
+def brute_signature(words, k, slots=fingerprints.SLOTS, together=fingerprints.TOGETHER):
+    """Of each slot the (term, t) with the least sample, by the definition, with variates from the same hashes."""
+    h = lambda form, v, seed: xxhash.xxh64_intdigest(struct.pack(form, v), seed)
+    u = lambda x, shift, bits: ((x >> shift & (1 << bits) - 1) + 0.5) / (1 << bits)
+    found = collections.Counter()
+    for i in range(max(len(words) - k, 0) + 1 if words else 0):
+        term = 42
+        for w in words[i : i + k]:
+            term = xxhash.xxh64_intdigest(w.encode(), term)
+        found[term] += 1
+    out = []
+    for slot in range(slots):
+        draws = []
+        for term, w in found.items():
+            base = h("<Q", term, 42)
+            one, two = h("<i", 1, h("<i", slot, base)), h("<i", 2, h("<i", slot - slot % together, base))
+            r, b, c = -math.log(u(one, 0, 22) * u(one, 22, 22)), u(one, 44, 20), -math.log(u(two, 0, 32) * u(two, 32, 32))
+            t = math.floor(math.log(w) / r + b)
+            draws.append((c / (math.exp(r * (t - b)) * math.exp(r)), term, t))
+        out.append(min(draws)[1:] if draws else None)
+    return out
+
+
+def alike(a, b):
+    either = [(x, y) for x, y in zip(a, b, strict=True) if x is not None or y is not None]
+    return sum(x == y for x, y in either) / len(either) if either else 1.0
+
+
+def test_samples_by_definition(docs):
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint(docs).collect() if r["doc_id"] is not None}
+    texts = {r[0]: r[1] or "" for r in rows() if r[0] is not None}
+    ids = [i for i in sorted(texts, reverse=True) if i not in (8, 9)]
+    words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+    for a in ids[:-1]:
+        n = next(i for i in sorted(texts, reverse=True) if i < a)
+        k = len(texts[a]) // 3
+        own = brute_signature(words(texts[a]), 5)
+        assert got[a]["near_edited"] == alike(own, brute_signature(words(texts[a][: len(texts[a]) - k] + texts[n][:k]), 5))
+        if n not in (8, 9):
+            assert got[a]["near_next"] == alike(own, brute_signature(words(texts[n]), 5))
+
+
 def test_collision_rate(spark):
     rng = np.random.default_rng(10)
     pairs, data = [], []
     for i in range(60):
-        a = [f"t{x}" for x in rng.integers(0, 30, 200)]
-        b = [f"t{x}" if rng.random() < 0.5 else w for w, x in zip(a, rng.integers(0, 30, 200), strict=True)]
-        data += [(i, 0, " ".join(a)), (i, 1, " ".join(b))]
-        ca, cb = collections.Counter(a), collections.Counter(b)
-        pairs.append(jaccard(ca, cb))
-    df = spark.createDataFrame(data, "id long, which int, text string")
-    sig = {r["id"]: r["sigs"] for r in fingerprints.signatures(df, ["id"], "which", 2, words=1).collect()}
-    est = []
-    for i in range(60):
-        a, b = sig[i]
-        both = [(x, y) for x, y in zip(a, b, strict=True) if x is not None or y is not None]
-        est.append(np.mean([x == y for x, y in both]))
-    assert abs(np.mean(np.array(est) - np.array(pairs))) < 0.03
+        a = [f"t{i}x{x}" for x in rng.integers(0, 30, 200)]
+        b = [f"t{i}x{x}" if rng.random() < i / 60 else w for w, x in zip(a, rng.integers(0, 30, 200), strict=True)]
+        data.append((i, " ".join(a), " ".join(b), 0))
+        pairs.append(jaccard(collections.Counter(a), collections.Counter(b)))
+    df = spark.createDataFrame(data, "id long, text string, edited string, same int")
+    error = lambda slots: np.array([alike(r["own"], r["edited"]) - pairs[r["id"]] for r in fingerprints.signatures(df, ["id"], slots, words=1).collect()])
+    assert abs(error(32).mean()) < 0.03 and np.abs(error(32)).mean() < 0.1
+    assert abs(error(256).mean()) < 0.01 and np.abs(error(256)).mean() < 0.04

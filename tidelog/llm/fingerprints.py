@@ -1,17 +1,13 @@
 """Document fingerprints by consistent weighted sampling, on DataFrame functions only.
 
-A document is a set of weighted terms: its five-word shingles, weighted by how often they occur. For each weighted term a
-consistent sample is drawn from gamma variates that depend on the term alone: with r, c ~ Gamma(2, 1) and b uniform,
-t = floor(ln w / r + b), y = exp(r (t - b)), a = c / (y exp(r)). A slot of the signature holds the least a of its
-terms. Two documents have the same value in a slot with the probability of the generalised Jaccard similarity
-(sum of least over sum of greatest weights) of what they have in the slot.
-
-Rather than sample every term once for every slot, a term's occurrences are dealt to the slots in turn, from a slot that its
-hash names, and it is sampled in each with the weight it got there. A term that occurs once costs one sample instead of
-as many as there are slots, and one that makes up much of a document weighs on all of them. Slots that neither document fills
-do not count.
-
-Scale: texts are shuffled once by document; counting, sampling and minima all follow that partitioning, and no Python runs.
+A document is a set of weighted terms: its five-word shingles, weighted by how often they occur. For each slot of the signature and each
+term a consistent sample is drawn from gamma variates that depend on the two alone: with r, c ~ Gamma(2, 1) and b uniform,
+t = floor(ln w / r + b), y = exp(r (t - b)), a = c / (y exp(r)), w being the term's whole weight in the document. The slot holds the least a of
+all terms. Two documents have the same value in a slot with the probability of their generalised Jaccard similarity
+(sum of least over sum of greatest weights).
+
+Scale: texts are shuffled once by document. Shingles are counted and sampled where their document lies; a text and its edited
+form share the samples of what they have in common. All aggregates follow the documents' partitioning, and no Python runs.
 """
 
 from __future__ import annotations
@@ -22,44 +18,73 @@ from pyspark.sql import functions as F
 from .common import cut, tasks
 
 SPACE = r"[\x20\x09-\x0D]+"
-SLOTS = 64
+SLOTS = 32
 WORDS = 5
+BLANK = " \t\n\x0b\x0c\r"
+#: Slots sampled in one row, which share c. Each slot still has its own r and b, so each collides at the rate it should.
+TOGETHER = 8
 
 
-def _uniforms(term: Column, slot: Column) -> list[Column]:
-    """Five uniform variates in (0, 1) of a term and slot, from two hashes."""
-    one, two = F.xxhash64(term, slot, F.lit(1)), F.xxhash64(term, slot, F.lit(2))
-    at = lambda h, shift, bits: (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) / float(1 << bits)
-    return [at(one, 0, 32), at(one, 32, 32), at(two, 0, 22), at(two, 22, 21), at(two, 43, 21)]
+def _uniform(h: Column, shift: int, bits: int) -> Column:
+    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) / float(1 << bits)
 
 
-def sample(term: Column, slot: Column, weight: Column) -> Column:
-    """ln a of the weighted term's consistent sample."""
-    u = _uniforms(term, slot)
-    r, ln_c = -F.ln(u[0] * u[1]), F.ln(-F.ln(u[2] * u[3]))
-    t = F.floor(F.ln(weight) / r + u[4])
-    return ln_c - r * (t - u[4] + 1.0)
+def spread(term: Column, slot: Column) -> tuple[Column, Column]:
+    """r and b of a term and slot, from the bits of a hash."""
+    h = F.xxhash64(term, slot, F.lit(1))
+    return -F.ln(_uniform(h, 0, 22) * _uniform(h, 22, 22)), _uniform(h, 44, 20)
 
 
-def signatures(texts: DataFrame, keys: list[str], which: str, kinds: int, slots: int = SLOTS, words: int = WORDS) -> DataFrame:
-    """``keys`` and ``sigs``: for each of ``kinds`` texts (column ``which``, from 0) an array of one value, or null, for each slot.
+def rank(term: Column, slot: Column) -> Column:
+    """ln c of a term and the first of the slots that share it."""
+    h = F.xxhash64(term, slot, F.lit(2))
+    return F.ln(-F.ln(_uniform(h, 0, 32) * _uniform(h, 32, 32)))
 
-    ``texts(keys..., which, text)`` has one row for each text. Fewer than ``words`` words are one shingle; texts without words
-    have nothing but nulls, and keys without any words no row.
+
+def sample(r: Column, b: Column, ln_c: Column, ln_w: Column) -> Column:
+    """ln a of the consistent sample of a term with weight w."""
+    return ln_c - r * (F.floor(ln_w / r + b) - b + 1.0)
+
+
+def terms(texts: DataFrame, keys: list[str], words: int = WORDS) -> DataFrame:
+    """``keys, term, w0, w1``: each shingle of ``texts(keys..., text, edited, same)`` with its number in the text and in the edited text.
+
+    The first ``same`` characters of both are equal: shingles of whole words there are looked at once. Fewer than ``words`` words are one shingle.
+    One row for each place of a shingle, counted where it is: ``texts`` lie parted by ``keys``.
+    """
+    split = lambda text: F.when(F.btrim(text, F.lit(BLANK)) != "", F.split(F.btrim(text, F.lit(BLANK)), SPACE))
+    whole = F.greatest(F.coalesce(F.size(split(F.expr("left(text, same)"))), F.lit(0)) - 1, F.lit(0))  # the last word there may go on
+    t = texts.select(*keys, split(F.col("text")).alias("own"), split(F.col("edited")).alias("edited"), whole.alias("whole"))
+    first = F.greatest(F.col("whole") - words + 1, F.lit(0))
+    kinds = F.array(F.struct(F.lit(0).alias("which"), F.lit(0).alias("first"), F.col("own").alias("w")), F.struct(F.lit(1).alias("which"), first.alias("first"), F.col("edited").alias("w")))
+    t = t.select(*keys, "whole", F.explode(kinds).alias("t")).select(*keys, "whole", "t.which", "t.first", "t.w")
+    places = t.select(*keys, "whole", "which", "w", F.explode(F.sequence("first", F.greatest(F.size("w") - words, F.lit(0)))).alias("at"))
+    both = F.when((F.col("which") == 1) | (F.col("at") + words <= F.col("whole")), 1).otherwise(0)
+    one = places.select(*keys, (1 - F.col("which")).alias("in0"), both.alias("in1"), F.xxhash64(*[F.get("w", F.col("at") + k) for k in range(words)]).alias("term"))
+    return one.groupBy(*keys, "term").agg(F.sum("in0").alias("w0"), F.sum("in1").alias("w1"))
+
+
+def signatures(texts: DataFrame, keys: list[str], slots: int = SLOTS, words: int = WORDS) -> DataFrame:
+    """``keys, own, edited``: for ``texts(keys..., text, edited, same)``, one row for each ``keys``, arrays of one value, or null, for each slot.
+
+    A text without words has nothing but nulls, and keys without any words no row. ``slots`` is a multiple of ``TOGETHER``.
     """
-    cleaned = F.filter(F.split("text", SPACE), lambda w: w != "")
-    h = texts.select(*keys, which, F.transform(cleaned, lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") > 0)
-    rows = h.select(*keys, which, "h", F.explode(F.sequence(F.lit(0), F.greatest(F.size("h") - words, F.lit(0)))).alias("at"))
-    terms = rows.select(*keys, which, F.xxhash64(*[F.get("h", F.col("at") + i) for i in range(words)]).alias("term"))
-    counted = terms.groupBy(*keys, which, "term").agg(F.count("*").alias("n"))
-    dealt = counted.select(*keys, which, "term", "n", F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(slots)).cast("int") - 1)).alias("turn"))
-    slot = F.pmod(F.shiftrightunsigned("term", 7) + F.col("turn"), F.lit(slots)).cast("int")
-    weight = F.floor((F.col("n") - 1 - F.col("turn")) / slots) + 1
-    place = (F.col(which) * slots + slot).cast("int")
-    least = dealt.select(*keys, place.alias("place"), sample(F.col("term"), slot, weight).alias("a")).groupBy(*keys, "place").agg(F.min("a").alias("a"))
-    got = least.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("place", F.hash("a").alias("value")))).alias("m"))
-    arrays = [F.transform(F.sequence(F.lit(k * slots), F.lit((k + 1) * slots - 1)), lambda i: F.try_element_at("m", i)) for k in range(kinds)]
-    return got.select(*keys, F.array(*arrays).alias("sigs"))
+    t = terms(texts, keys, words)
+    ln = lambda w: F.when(F.col(w) > 0, F.ln(w))
+    t = t.select(*keys, "term", ln("w0").alias("l0"), ln("w1").alias("l1"))
+    t = t.select(*keys, "term", "l0", "l1", F.coalesce("l0", "l1").alias("l"), F.explode(F.sequence(F.lit(0), F.lit(slots - TOGETHER), F.lit(TOGETHER))).alias("slot"))
+    k = range(TOGETHER)
+    drawn = [v.alias(f"{n}{i}") for i in k for n, v in zip("rb", spread(F.col("term"), F.col("slot") + i), strict=True)]
+    t = t.select(*keys, "slot", "l0", "l1", "l", rank(F.col("term"), F.col("slot")).alias("c"), *drawn)
+    of = lambda i, w: sample(F.col(f"r{i}"), F.col(f"b{i}"), F.col("c"), F.col(w))
+    t = t.select("*", *[of(i, "l").alias(f"a{i}") for i in k])
+    own = [F.min(F.when(F.col("l0").isNotNull(), F.col(f"a{i}"))).alias(f"own{i}") for i in k]
+    edited = [F.min(F.when(F.col("l1") == F.col("l"), F.col(f"a{i}")).otherwise(of(i, "l1"))).alias(f"edited{i}") for i in k]
+    got = t.groupBy(*keys, "slot").agg(*own, *edited)
+    some = lambda name: F.array(*[F.when(F.col(f"{name}{i}").isNotNull(), F.hash(f"{name}{i}")) for i in k])
+    part = got.select(*keys, F.struct("slot", some("own").alias("own"), some("edited").alias("edited")).alias("part"))
+    all_parts = part.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return all_parts.select(*keys, F.flatten(F.col("parts.own")).alias("own"), F.flatten(F.col("parts.edited")).alias("edited"))
 
 
 def shown(sig: Column) -> Column:
@@ -110,15 +135,14 @@ def fingerprint(docs: DataFrame, slots: int = SLOTS, words: int = WORDS) -> Data
     ask = nexts.select(F.col("id").alias("for_id"), F.col("key").alias("for_key"), "next_id", "next_key", F.floor(F.col("n_chars") / 3).cast("int").alias("third"))
     heads = one.join(ask, (one["id"] == ask["next_id"]) & (one["key"] == ask["next_key"])).select("for_id", "for_key", "third", F.expr("left(text, third)").alias("head"))
     heads = heads.select(F.col("for_id").alias("id"), F.col("for_key").alias("key"), "third", "head")
-    both = one.join(heads, ["id", "key"]).select("id", "key", "text", F.concat(F.expr("left(text, char_length(text) - third)"), "head").alias("edited"))
+    both = one.join(heads, ["id", "key"]).select("id", "key", "text", F.concat(F.expr("left(text, char_length(text) - third)"), "head").alias("edited"), F.expr("char_length(text) - third").alias("same"))
     sha = both.select("id", "key", F.sha2("edited", 256).alias("edited_sha256"))
-    texts = both.select("id", "key", F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("t")).select("id", "key", "t.which", "t.text")
-    sigs = cut(signatures(texts, ["id", "key"], "which", 2, slots, words))
+    sigs = cut(signatures(both, ["id", "key"], slots, words))
     empty = F.array_repeat(F.lit(None).cast("int"), slots)
     out = nexts.join(sha, ["id", "key"]).join(sigs, ["id", "key"], "left")
-    after = sigs.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("sigs")[0].alias("next_sig"))
+    after = sigs.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("own").alias("next_sig"))
     out = out.join(after, ["next_id", "next_key"], "left")
-    own, edited, coming = F.coalesce(F.col("sigs")[0], empty), F.coalesce(F.col("sigs")[1], empty), F.coalesce("next_sig", empty)
+    own, edited, coming = F.coalesce("own", empty), F.coalesce("edited", empty), F.coalesce("next_sig", empty)
     out = out.select(
         F.when(F.col("id") != -(2**63), F.col("id")).alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", shown(own).alias("fingerprint"),
         shown(edited).alias("edited_fingerprint"), likeness(own, edited).alias("near_edited"), likeness(own, coming).alias("near_next"),
