@@ -30,6 +30,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sheltered(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but ``used`` under names that no operator gives its own, and those names by the old ones."""
+    kept = {c: f"__kept{i}" for i, c in enumerate(docs.columns) if c not in used}
+    return docs.toDF(*[kept.get(c, c) for c in docs.columns]), kept
+
+
+def unsheltered(out: DataFrame, kept: dict[str, str]) -> DataFrame:
+    """``out`` with the columns of ``kept`` under their old names again."""
+    back = {v: k for k, v in kept.items()}
+    return out.toDF(*[back.get(c, c) for c in out.columns])
+
+
 def tasks(spark: SparkSession) -> int:
     """Number of partitions for explicit repartitioning, as the session sets it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

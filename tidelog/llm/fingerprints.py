@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import cut, tasks
 
 SPACE = r"[\x20\x09-\x0D]+"
-SLOTS = 32
+SLOTS = 48
 WORDS = 5
 BLANK = " \t\n\x0b\x0c\r"
 #: Slots sampled in one row, which share c. Each slot still has its own r and b, so each collides at the rate it should.
@@ -131,7 +131,7 @@ def fingerprint(docs: DataFrame, slots: int = SLOTS, words: int = WORDS) -> Data
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     ids = d.groupBy("id", "key").agg(F.count("*").alias("rows"), F.max(F.length("text")).alias("n_chars"))
     nexts = cut(followers(ids))
-    one = d.repartition(tasks(docs.sparkSession), "id", "key").groupBy("id", "key").agg(F.first("text").alias("text"))
+    one = d.repartition(4 * tasks(docs.sparkSession), "id", "key").groupBy("id", "key").agg(F.first("text").alias("text"))
     ask = nexts.select(F.col("id").alias("for_id"), F.col("key").alias("for_key"), "next_id", "next_key", F.floor(F.col("n_chars") / 3).cast("int").alias("third"))
     heads = one.join(ask, (one["id"] == ask["next_id"]) & (one["key"] == ask["next_key"])).select("for_id", "for_key", "third", F.expr("left(text, third)").alias("head"))
     heads = heads.select(F.col("for_id").alias("id"), F.col("for_key").alias("key"), "third", "head")

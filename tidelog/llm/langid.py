@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sheltered, unsheltered
+
 DIMS = 4096
 #: Bytes of a text hashed at a time.
 STEP = 1 << 20
@@ -124,7 +126,7 @@ def learned(docs: DataFrame, sample: int = 400) -> Model:
 
     Rows whose crc32 of ``doc_id`` as text leaves 2 modulo 4 are held out; so are null ids, texts and langs.
     """
-    pick = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    pick = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     key = F.xxhash64(F.col("doc_id"), F.lit(11))
     # the least hashes by language: merged within tasks first, so a frequent language costs one bounded list a task
     ids = pick.select("lang", key.alias("k"), "doc_id").withColumn("part", F.pmod("k", F.lit(64)))
@@ -137,7 +139,8 @@ def learned(docs: DataFrame, sample: int = 400) -> Model:
             x = [features(t.as_py()).tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
 
-    got = pick.join(chosen, "doc_id", "left_semi").select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, x binary").collect()
+    few = pick.join(chosen, "doc_id", "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # of rows repeated for an id one
+    got = few.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, x binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["lang"], r["x"]))
     return train([(r["lang"], np.frombuffer(r["x"], np.float32)) for r in got])
 
@@ -160,5 +163,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
         return pd.DataFrame([share.value.predict(t if isinstance(t, str) else None) for t in texts], columns=["lang_pred", "score", "ambiguous"])
 
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
-    return docs.select(*keep, predict("text").alias("_p")).select(*keep, "_p.*")
+    docs, kept = sheltered(docs.drop("lang_pred", "score", "ambiguous"), ("text",))
+    return unsheltered(docs.withColumn("_p", predict("text")).select(*docs.columns, "_p.*"), kept)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sheltered, unsheltered
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -117,7 +117,8 @@ def mix(docs: DataFrame, epochs: int = 3, weights: int = 3) -> DataFrame:
     """
     new = ["size", "source_size", "target", "copies", "taken"]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.select(*[c for c in docs.columns if c not in new], size.alias("size"))
+    docs, kept = sheltered(docs.select(*[c for c in docs.columns if c not in new]), ("doc_id", "text", "source"))
+    d = docs.withColumn("size", size)
     per = mix_plan(docs, epochs, weights).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "source_size", "target", "copies")
     on = d["doc_id"].eqNullSafe(per["_d"]) & d["source"].eqNullSafe(per["_s"]) & (d["size"] == per["_z"])
-    return d.join(per, on).drop("_d", "_s", "_z").withColumn("taken", F.col("size") * F.col("copies"))
+    return unsheltered(d.join(per, on).drop("_d", "_s", "_z").withColumn("taken", F.col("size") * F.col("copies")), kept)

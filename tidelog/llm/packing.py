@@ -56,7 +56,7 @@ class Encoder:
     """Token ids of a byte-level BPE vocabulary file for the ``tokenizers`` library, as little-endian unsigned 32-bit bytes.
 
     Merges never cross the pre-tokeniser's words, so ids of words are kept and reused. Texts with characters outside
-    of ``PLAIN``'s alphabet go through the library whole.
+    of ``PLAIN``'s alphabet or with the vocabulary's added tokens go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -64,7 +64,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]  # found before words are split
         self.words = Words(self.lib.model)
 
     @classmethod
@@ -74,7 +74,7 @@ class Encoder:
         return _encoders[path]
 
     def ids(self, text: str) -> bytes:
-        if OTHER.search(text):
+        if OTHER.search(text) or any(t in text for t in self.added):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.words.__getitem__, PLAIN.findall(text)))
 

@@ -167,13 +167,16 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learned(docs: DataFrame, labels: DataFrame, sample: int = 800) -> Model:
+def learned(docs: DataFrame, labels: DataFrame, sample: int = 800, most: int = 256) -> Model:
     """Fit on at most ``sample`` documents of each quality label, those with the least hash of ``doc_id``, not held out.
 
+    Of a document at most ``most`` passages are learned from, spread evenly over it, so ``2 * sample * most`` rows of ``WIDTH`` numbers are the most that the driver holds.
+    Of texts repeated for an id the least counts.
+
     Rows whose crc32 of ``doc_id`` as text is divisible by 5 are held out. Labels other than 0 and 1, null ids and labels without
     a document are left out; of labels repeated for an id the largest counts.
     """
-    known = labels.select("doc_id", "quality").where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("k", F.xxhash64("doc_id", F.lit(5))).withColumn("part", F.pmod("k", F.lit(64)))
     share = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     ids = known
@@ -182,10 +185,13 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = 800) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [np.vstack(list(passages(t.as_py()))).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.large_binary()).cast(pa.binary())], ["doc_id", "quality", "x"])
+            for i, t in enumerate(b.column(1)):
+                x = np.vstack(list(passages(t.as_py())))
+                x = x[np.unique(np.linspace(0, len(x) - 1, min(len(x), most)).astype(int))]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 1], b.column(2)[i : i + 1], pa.array([x.tobytes()], pa.binary())], ["doc_id", "quality", "x"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", F.col("quality").cast("int").alias("quality"))), "doc_id")  # at most 2 * sample rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids.select("doc_id", F.col("quality").cast("int").alias("quality"))), "doc_id")  # at most 2 * sample rows are sent
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     got = texts.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
     return train([np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH) for r in got], np.array([r["quality"] for r in got], float), 0.5 if share is None else share)

@@ -8,11 +8,13 @@ Distribution: every fingerprint is filed under several keys made of some of its
 small budget the keys are such that two fingerprints within it agree on at least one key (pigeonhole), so no
 link is lost; keys that too many fingerprints share are split by further keys below, again without loss.
 
-``similar_groups`` works on the shingle sets themselves: texts are filed under their rarest shingles (prefix filtering), which loses no pair either.
+``similar_groups`` finds texts whose shingle sets are alike. It files their fingerprints under their rarest shingles, as many as make any two
+texts alike share one, joins the trie below each of these keys within an error budget that texts alike keep, and verifies what it finds on the texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, star, tasks
+from .common import components, cut, sheltered, star, tasks, unsheltered
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bits of the three blocks that a fingerprint is cut into.
@@ -68,7 +70,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
 def trie_pairs(values: np.ndarray, groups: np.ndarray, budget: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs of one group whose ``values`` differ in at most ``budget`` bits.
 
-    ``values`` (unsigned 64-bit) are sorted by group and value and distinct within a group; the first ``depth`` bits are known to agree.
+    ``values`` (unsigned 64-bit) are sorted by group and value; the first ``depth`` bits are known to agree.
     """
     n = len(values)
     first = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
@@ -101,6 +103,11 @@ def trie_pairs(values: np.ndarray, groups: np.ndarray, budget: int, depth: int =
             near = np.bitwise_count(values[x] ^ values[y]) <= budget
             found.append((x[near], y[near]))
             a_lo, a_hi, b_lo, b_hi, diff = (v[~leaf] for v in (a_lo, a_hi, b_lo, b_hi, diff))
+    # nodes left at the bottom have several equal values
+    for lo, hi, at, to in zip(a_lo.tolist(), a_hi.tolist(), b_lo.tolist(), b_hi.tolist(), strict=True):
+        x, y = np.repeat(np.arange(lo, hi), to - at), np.tile(np.arange(at, to), hi - lo)
+        apart = x < y if lo == at else np.ones(len(x), bool)
+        found.append((x[apart], y[apart]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
@@ -190,6 +197,25 @@ SAMPLE, COMMON = 16, 1 << 20
 EMPTY = -1
 
 
+#: Sets of fewer shingles are compared whatever their fingerprints.
+FEW = 64
+#: Share of pairs at the bound that may exceed the error budget.
+LOST = 1e-9
+
+
+def error_budget(similarity: float, bits: int = 64) -> int:
+    """Least number of differing bits that fingerprints of sets of ``similarity`` exceed with a likelihood below ``LOST``.
+
+    A bit differs as often as the angle between the sets' vectors is of a half turn; a twentieth is added for ties of small sets.
+    """
+    p = min(0.5, 1.05 * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
+    over, d = 1.0, -1
+    while over >= LOST and d < bits:
+        d += 1
+        over -= math.comb(bits, d) * p**d * (1 - p) ** (bits - d)
+    return d
+
+
 def common_shingles(nodes: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles found more than twice in a sample of ``nodes(node, text)``, sorted, and how often.
 
@@ -224,10 +250,11 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similari
 def candidates(nodes: DataFrame, n: int, k: int, similarity: float) -> DataFrame:
     """Rows ``(a, b, need, times)`` of ``nodes(node, text)``: pairs and how many tokens they share in the task; ``need`` -1 for texts of a crowded token and the first of them.
 
-    Every pair of at least ``similarity`` shares a token. Either that token is crowded, or all that the two share are counted, and they are at least ``need``:
+    Every pair of at least ``similarity`` shares a token. Either that token is crowded, or the two meet in the trie of each token that they share, and these are at least ``need``:
     what is common to both is among these or among what the one whose prefix ends first has left.
     """
     spark = nodes.sparkSession
+    budget = error_budget(similarity)
     common = spark.sparkContext.broadcast(common_shingles(nodes, n, k))
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,17 +271,18 @@ def candidates(nodes: DataFrame, n: int, k: int, similarity: float) -> DataFrame
                 times = [len(t) for t in toks]
                 node = np.repeat(b.column(0).to_numpy()[lo : lo + 512], times)
                 size = np.repeat(np.array([len(x) for x in some], np.int32), times)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(node), pa.array(size)], ["tok", "node", "size"])
+                fp = np.repeat(np.array([simhash(x) for x in some], np.uint64).view(np.int64), times)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(node), pa.array(size), pa.array(fp)], ["tok", "node", "size", "fp"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not cols:
             return
-        tok, node, size = (np.concatenate(x) for x in zip(*cols, strict=True))
+        tok, node, size, fp = (np.concatenate(x) for x in zip(*cols, strict=True))
         order = np.lexsort((node, tok))
         tok, node = tok[order], node[order]
         once = np.concatenate(([True], (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])))  # copies of a text in other tasks
-        tok, node, size = tok[once], node[once], size[order][once].astype(np.int64)
+        tok, node, size, fp = tok[once], node[once], size[order][once].astype(np.int64), fp[order][once].view(np.uint64)
         first = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
         of = np.diff(np.append(first, len(tok)))
         start, crowd = np.repeat(first, of), np.repeat(of > DENSE, of)
@@ -263,20 +291,27 @@ def candidates(nodes: DataFrame, n: int, k: int, similarity: float) -> DataFrame
             c = crowd[i : i + (1 << 20)]
             a, b = node[i : i + (1 << 20)][c], hub[i : i + (1 << 20)][c]
             yield rows(a, b, np.full(len(a), -1), np.ones(len(a), np.int64))
+        tok, node, size, fp = (x[~crowd] for x in (tok, node, size, fp))
+        # tries of few shingles apart from the rest: both have those of nearly so few
+        low, high = size <= FEW / similarity, size >= FEW
         rest = np.ceil(similarity * size - 1e-6).astype(np.int64) - 1
         held: list[tuple] = []
-        for step in range(1, DENSE):
-            x = np.flatnonzero(~crowd[:-step] & (tok[step:] == tok[:-step])) if step < len(tok) else np.zeros(0, np.int64)
-            if not len(x):
-                break
-            y = x + step
-            ok = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-6
-            x, y = x[ok], y[ok]
-            need = np.ceil(similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6).astype(np.int64) - np.maximum(rest[x], rest[y])
-            held.append((node[x], node[y], np.maximum(need, 0)))
-            if sum(len(h[0]) for h in held) > 1 << 20:
-                yield tallied(held)
-                held = []
+        for pick, most in ((np.flatnonzero(low), 64), (np.flatnonzero(high), budget)):
+            pick = pick[np.lexsort((fp[pick], tok[pick]))]
+            for s in batched(tok[pick]):
+                x, y = trie_pairs(fp[pick[s]], tok[pick[s]], most)
+                x, y = pick[s][x], pick[s][y]
+                if most < 64:  # else both have met
+                    apart = ~(low[x] & low[y])
+                    x, y = x[apart], y[apart]
+                x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+                ok = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-6
+                x, y = x[ok], y[ok]
+                need = np.ceil(similarity / (1 + similarity) * (size[x] + size[y]) - 1e-6).astype(np.int64) - np.maximum(rest[x], rest[y])
+                held.append((node[x], node[y], np.maximum(need, 0)))
+                if sum(len(h[0]) for h in held) > 1 << 20:
+                    yield tallied(held)
+                    held = []
         if held:
             yield tallied(held)
 
@@ -290,7 +325,7 @@ def candidates(nodes: DataFrame, n: int, k: int, similarity: float) -> DataFrame
     def rows(*x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(v) for v in x], ["a", "b", "need", "times"])
 
-    f = nodes.select("node", "text").mapInArrow(filed, "tok long, node long, size int")
+    f = nodes.select("node", "text").mapInArrow(filed, "tok long, node long, size int, fp long")
     return f.repartition(4 * tasks(spark), "tok").mapInArrow(joined, "a long, b long, need long, times long")
 
 
@@ -437,13 +472,15 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
     """One document of each group of texts alike: rows of ``docs`` that stay, all columns as they are.
 
     Texts link when their sets of ``k``-word shingles have a Jaccard similarity of at least ``similarity``; of each group
-    linked the document with the least ``doc_id`` stays. Texts are filed under so many of their rarest shingles that any two that link share one, so no link is missed;
-    pairs that share enough of them are verified on the texts. Texts under a crowded shingle are compared in blocks. No text goes before all pairs are verified.
+    linked the document with the least ``doc_id`` stays. Fingerprints of the sets are filed under so many of their rarest shingles that any two texts that link share one, and the tries below
+    these are joined. The error budget is such that a pair at the bound exceeds it with a likelihood of ``LOST``; sets of fewer than ``FEW`` shingles meet whatever it is.
+    Pairs that meet under enough shingles are verified on the texts. Texts under a crowded shingle are compared in blocks. No text goes before all pairs are verified.
 
     Defined cases: null and empty texts are alike; fewer than ``k`` words are one shingle; a null ``doc_id`` counts as
     the largest; of rows repeated exactly one stays; an empty table gives an empty result.
     """
     last = 2**63 - 1
+    docs, kept = sheltered(docs, ("doc_id", "text"))
     d = docs.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(last)))
     nodes = cut(d.groupBy(F.col("_node").alias("node")).agg(F.min("_ord").alias("ord")))
     texts = d.select(F.col("_node").alias("node"), "text")
@@ -461,4 +498,4 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
     stay = nodes.join(drop, "node", "left_anti").select(F.col("node").alias("_n"), F.col("ord").alias("_o"))
     out = d.join(stay, (d["_node"] == stay["_n"]) & (d["_ord"] == stay["_o"]))
     out = out.withColumn("_row", F.row_number().over(Window.partitionBy("_node", "_ord").orderBy(F.lit(1)))).where("_row = 1")
-    return out.select(*docs.columns)
+    return unsheltered(out.select(*docs.columns), kept)

@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tasks
+from .common import sheltered, tasks, unsheltered
 from .induced import descending
 
 ANCHOR = 24
@@ -241,12 +241,13 @@ def deduplicate(docs: DataFrame, length: int = 50, texts: bool = False) -> DataF
     largest; rows with equal ids do not precede each other, so repeated rows all keep what the first keeps; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    docs, names = sheltered(docs, ("doc_id", "text", "n_chars"))
     d = docs.withColumn("_ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
     heads = d.groupBy("_sha").agg(F.min("_ord").alias("_first"))
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = tasks(spark)
     blocks, buckets = max(n, -(-size // BLOCK_BYTES)), max(n, -(-size // SHARD_BYTES))
-    one = d.where(F.octet_length("text") >= length).select(F.pmod(F.xxhash64("_ord"), F.lit(blocks)).cast("int").alias("block"), F.col("_ord").alias("ord"), F.col("_sha").alias("sha"), "text")
+    one = d.where(F.octet_length("text") >= length).select(F.pmod(F.xxhash64("_ord", "_sha"), F.lit(blocks)).cast("int").alias("block"), F.col("_ord").alias("ord"), F.col("_sha").alias("sha"), "text")
     one = one.repartition(n, "block")
 
     def block_of(t: pa.Table) -> tuple[pa.Table, Block]:
@@ -414,7 +415,7 @@ def deduplicate(docs: DataFrame, length: int = 50, texts: bool = False) -> DataF
         out = out.withColumn("text", F.when(copy, "").when(F.col("_whole"), F.col("_d_left")).otherwise(F.col("text")))
         if "n_chars" in docs.columns:
             out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-        return out.select(*docs.columns)
+        return unsheltered(out.select(*docs.columns), names)
     return out.select(
         "doc_id", F.col("_bytes").alias("n_bytes"),
         F.when(copy, F.col("_bytes")).otherwise(F.coalesce("_d_removed", F.lit(0))).cast("long").alias("n_removed"),

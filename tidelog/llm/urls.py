@@ -13,13 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import sheltered, unsheltered
+
 # The rules, as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-# Words that sell or lure in hosts of unwanted sites, and plain ones.
-LURES = ("cheap", "free", "win", "casino", "pills", "bets", "spam", "ads", "track", "loan", "bonus", "deal", "click", "prize", "farm", "crypto", "cash", "hot", "best", "slots")
-PLAIN = ("river", "stone", "garden", "school", "library", "market", "weather", "kitchen", "music", "travel", "history", "science", "sports", "review", "forum", "journal", "museum", "health", "photo", "village")
-
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -75,16 +73,28 @@ def suffix(url: Column) -> Column:
     return F.substring_index(parts(url)[0], ".", -1)
 
 
-def labelled_urls(spark: SparkSession, n: int = 2000) -> DataFrame:
-    """``url, label`` (1: to block): ``n`` URLs made by rule from the word lists above, every second one to block."""
+def labelled_urls(spark: SparkSession, n: int = 6000) -> DataFrame:
+    """``url, label`` (1: to block): ``n`` URLs made by rule, every second one to block.
+
+    Words are random letters. What is to block has hyphens and digits in its host, words of few letters, deep paths, parameters and some suffixes more often
+    than what is not, each by chance and on its own: no single trait tells the two apart.
+    """
     pick = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(k)).cast("int")
-    word = lambda words, salt: F.get(F.array(*map(F.lit, words)), pick(salt, len(words)))
-    label = F.pmod("id", F.lit(2)).cast("int")
-    lure = F.concat_ws("-", word(LURES, 1), F.when(pick(2, 4) == 0, word(PLAIN, 3)).otherwise(word(LURES, 4)), F.when(pick(5, 4) == 0, pick(6, 100).cast("string")))
-    plain = F.concat(word(PLAIN, 7), F.when(pick(8, 2) == 0, word(PLAIN, 9)).otherwise(F.lit("")))
-    host = F.concat(word(("", "www.", "blog.", "m."), 10), F.when(label == 1, lure).otherwise(plain), F.lit("."), F.when(pick(11, 3) == 0, F.lit("")).otherwise(F.lit("example.")), word(("com", "org", "net", "info"), 12))
-    path = F.concat(F.lit("/"), word(("en", "de", "fr", "es", "news", "shop"), 13), F.lit("/"), pick(14, 1000).cast("string"), word(("", "/", ".html", "#top", "?utm_source=feed", "?page=2&ref=x"), 15))
-    return spark.range(n).select(F.concat(word(("http://", "https://"), 16), host, path).alias("url"), label.alias("label"))
+    bad = F.pmod("id", F.lit(2)) == 1
+    often = lambda salt, yes, no: pick(salt, 100) < F.when(bad, yes).otherwise(no)
+    # hexadecimal digits as letters: many different ones, or three of them again and again
+    letters = lambda salt, least, spread: F.translate(F.substring(F.sha2(F.concat_ws(":", "id", F.lit(salt)), 256), F.lit(1), least + pick(salt, spread)), "0123456789", "ghiklmnort")
+    few = lambda word: F.translate(word, "abcdefghiklmnort", "aeoaeoaeoaeoaeoa")
+    word = lambda salt: F.when(often(salt + 50, 35, 4), few(letters(salt, 4, 5))).otherwise(letters(salt, 4, 5))
+    name = F.concat(word(1), F.when(often(2, 70, 6), F.concat(F.lit("-"), word(3))).otherwise(""), F.when(often(4, 40, 3), F.concat(F.lit("-"), word(5))).otherwise(""), F.when(often(6, 45, 4), pick(7, 1000).cast("string")).otherwise(""))
+    front = F.when(pick(8, 3) == 0, F.concat(letters(9, 1, 4), F.lit("."))).otherwise("")
+    ends = lambda salt, names: F.get(F.array(*map(F.lit, names)), pick(salt, len(names)))
+    end = F.when(often(10, 45, 15), ends(11, ("info", "biz", "top"))).otherwise(ends(12, ("com", "org", "net")))
+    host = F.concat(front, name, F.when(pick(13, 2) == 0, F.concat(F.lit("."), letters(14, 5, 4))).otherwise(""), F.lit("."), end)
+    depth = F.when(often(15, 50, 10), 4 + pick(16, 4)).otherwise(1 + pick(17, 3))
+    path = F.concat(F.lit("/"), F.array_join(F.slice(F.array(*[F.when(pick(20 + i, 2) == 0, letters(30 + i, 2, 6)).otherwise(pick(40 + i, 100000).cast("string")) for i in range(7)]), F.lit(1), depth), "/"))
+    query = F.when(often(18, 55, 12), F.concat(F.lit("?"), F.array_join(F.slice(F.array(*[F.concat(letters(60 + i, 1, 4), F.lit("="), letters(70 + i, 1, 8)) for i in range(5)]), F.lit(1), F.when(bad, 1 + pick(19, 5)).otherwise(1 + pick(19, 2))), "&"))).otherwise("")
+    return spark.range(n).select(F.concat(F.when(pick(80, 2) == 0, "http://").otherwise("https://"), host, path, query).alias("url"), bad.cast("int").alias("label"))
 
 
 @dataclass
@@ -121,7 +131,7 @@ def _leaf(t: dict, leaves: dict[int, dict]) -> Column:
     return F.lit(next((k for k, v in leaves.items() if v is t), -1))
 
 
-def train(labelled: DataFrame, sample: int = 20000, rounds: int = 8, depth: int = 2, bins: int = 16, rate: float = 0.4) -> Trees:
+def train(labelled: DataFrame, sample: int = 20000, rounds: int = 12, depth: int = 3, bins: int = 16, rate: float = 0.4) -> Trees:
     """Boost ``rounds`` trees on the logistic loss of ``labelled(url, label)``; rows with null url or another label than 0 and 1 are left out."""
     rows = labelled.where(F.col("url").isNotNull() & F.col("label").isin(0, 1)).orderBy(F.xxhash64("url"), "url", "label").limit(sample)
     base = rows.agg(F.sum(F.col("label").cast("double")), F.count("*")).first()
@@ -187,8 +197,9 @@ def judge(pages: DataFrame, model: Trees, rules: tuple = RULES, block_at: float
     new = ("host", "path", "rule", "verdict", "score")
     host, path, _ = parts(F.col("url"))
     x = model.columns(F.col("url"))
-    wide = pages.select(*[c for c in pages.columns if c not in new], host.alias("host"), path.alias("path"), F.struct(*[v.alias(k) for k, v in x.items()]).alias("_x"))
+    pages, kept = sheltered(pages.select(*[c for c in pages.columns if c not in new]), ("url",))
+    wide = pages.select("*", host.alias("host"), path.alias("path"), F.struct(*[v.alias(k) for k, v in x.items()]).alias("_x"))
     score = 1 / (1 + F.exp(-model.margin({k: F.col(f"_x.{k}") for k in x})))
     out = wide.withColumn("_r", ruled(F.col("host"), F.col("path"), rules)).withColumn("score", score)
     verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("score") >= block_at, "block").otherwise("allow"))
-    return out.withColumn("rule", F.col("_r.rule")).withColumn("verdict", verdict).drop("_x", "_r")
+    return unsheltered(out.withColumn("rule", F.col("_r.rule")).withColumn("verdict", verdict).drop("_x", "_r"), kept)
