@@ -30,7 +30,7 @@ from .induced import descending
 
 ANCHOR = 24
 #: Text of a block and of a bucket or shard, in bytes, on average.
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 64 << 20
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 4 << 20
 #: Text handled at a time, small enough for a core's cache.
 STEP = 1 << 17
 #: Memory for the queues of a shard's sort.
