@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,13 @@ def unsheltered(out: DataFrame, kept: dict[str, str]) -> DataFrame:
     return out.toDF(*[back.get(c, c) for c in out.columns])
 
 
+def trim() -> None:
+    """Give memory that this process no longer uses back to the system: an executor's workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tasks(spark: SparkSession) -> int:
     """Number of partitions for explicit repartitioning, as the session sets it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

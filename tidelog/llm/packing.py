@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, trim
 
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 #: The vocabulary's own split of text before merges, for texts of the characters above, ASCII digits, marks and plain white space.
@@ -41,6 +41,10 @@ class Words(dict):
         prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
         self.bytes = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in prints)}
 
+    def forget(self) -> None:
+        self.before = {}
+        self.clear()
+
     def __missing__(self, word: str) -> bytes:
         ids = self.before.get(word)
         if ids is None:
@@ -177,6 +181,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
                     start = stop
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.words.forget()
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

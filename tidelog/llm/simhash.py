@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, sheltered, star, tasks, unsheltered
+from .common import components, cut, sheltered, star, tasks, trim, unsheltered
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bits of the three blocks that a fingerprint is cut into.
@@ -273,6 +273,8 @@ def candidates(nodes: DataFrame, n: int, k: int, similarity: float) -> DataFrame
                 size = np.repeat(np.array([len(x) for x in some], np.int32), times)
                 fp = np.repeat(np.array([simhash(x) for x in some], np.uint64).view(np.int64), times)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(node), pa.array(size), pa.array(fp)], ["tok", "node", "size", "fp"])
+        seen.clear()
+        trim()
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
@@ -314,6 +316,8 @@ def candidates(nodes: DataFrame, n: int, k: int, similarity: float) -> DataFrame
                     held = []
         if held:
             yield tallied(held)
+        del cols, tok, node, size, fp, held
+        trim()
 
     def tallied(held: list[tuple]) -> pa.RecordBatch:
         a, b, need = (np.concatenate(z) for z in zip(*held, strict=True))
@@ -463,6 +467,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 ok.append(common >= similarity * (len(p) + len(q) - common))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        trim()
 
     both = pairs.join(s.withColumnRenamed("node", "a").withColumnRenamed("set", "p"), "a").join(s.withColumnRenamed("node", "b").withColumnRenamed("set", "q"), "b")
     return both.select("a", "b", "p", "q").mapInArrow(compare, "a long, b long")

@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sheltered, tasks, unsheltered
+from .common import sheltered, tasks, trim, unsheltered
 from .induced import descending
 
 ANCHOR = 24
@@ -251,6 +251,7 @@ def deduplicate(docs: DataFrame, length: int = 50, texts: bool = False) -> DataF
     one = one.repartition(n, "block")
 
     def block_of(t: pa.Table) -> tuple[pa.Table, Block]:
+        trim()  # what the block before took
         # of copies in a block the smallest
         order = t.sort_by([("sha", "ascending"), ("ord", "ascending")])
         sha = order.column("sha").to_pylist()
@@ -269,6 +270,7 @@ def deduplicate(docs: DataFrame, length: int = 50, texts: bool = False) -> DataF
         return _rows(rows, ["bucket", "block", "blob"])
 
     def shared(t: pa.Table) -> pa.Table:
+        trim()
         bucket, who = t.column("bucket")[0].as_py(), t.column("block").to_pylist()
         blobs = t.column("blob").to_pylist()
         # four bytes and a bit for each hash
@@ -309,6 +311,7 @@ def deduplicate(docs: DataFrame, length: int = 50, texts: bool = False) -> DataF
         return _rows(rows, ["bucket", "block", "kind", "blob"])
 
     def sorted_out(t: pa.Table) -> pa.Table:
+        trim()
         bucket = t.column("bucket")[0].as_py()
         rows = [(r["block"], bucket, False, r["blob"]) for r in t.filter(pa.compute.invert(t.column("kind"))).to_pylist()]
         t = t.filter(t.column("kind"))
