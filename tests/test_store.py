@@ -2,6 +2,9 @@
 
 import itertools
 import json
+import threading
+import time
+import urllib.request
 
 import pyarrow as pa
 import pytest
@@ -11,8 +14,9 @@ from pyspark.sql import types as T
 from tidelog.config import Config, Retain, Roll
 from tidelog.functions import schema as schemas
 from tidelog.operators import batch, focus, info, reconcile, replicate, retention
+from tidelog.operators.upkeep import Upkeep
 from tidelog.sources import formats
-from tidelog.sources.http import Api
+from tidelog.sources.http import Api, serve
 from tidelog.sources.store import Store
 from tidelog.streaming.sink import write_stream
 from tidelog.streaming.source import MicroBatches, tail
@@ -294,10 +298,11 @@ def test_http(spark, make):
     assert api.call("POST", "/topic/t/records", b'{"p":3}')[1:] == (b"[]", {"content-type": formats.JSON})
     assert json.loads(api.call("GET", "/topics")[1]) == {"topics": [{"name": "t"}]}
     assert json.loads(api.call("GET", "/topic/t")[1])["partitions"] == {"p": {"start": 0, "end": 3}}
-    assert json.loads(api.call("GET", "/info")[1])[0]["record_end"] == 3 and api.call("GET", "/ok")[0] == 200
+    assert json.loads(api.call("GET", "/info")[1])["topics"][0]["partitions"][0]["records"] == {"start": 0, "end": 3} and api.call("GET", "/ok")[0] == 200
     for method, path, body, h, want in (
         ("GET", "/topic/t/partition/p/records", b"", {}, 400), ("POST", "/topic/t/records?order=desc&time.start=1970-01-01T00:00:00Z&time.end=1970-01-01T00:00:00Z", b"", {}, 400),
         ("POST", "/topic/t/partition/p", b"", {}, 400), ("POST", "/topic/t/partition/p", b"junk", head, 400), ("POST", "/topic/t/records", b"", {"accept": "text/html"}, 400), ("GET", "/nope", b"", {}, 404),
+        *(("POST", "/topic/t/records", c, {}, 400) for c in (b"{", b"[1]", b'{"p":"x"}', b'{"p":true}', b'{"p":-1}', b"\xff")),
     ):
         assert api.call(method, path, body, h)[0] == want
     api.store.config.max_append_bytes = 10
@@ -305,6 +310,80 @@ def test_http(spark, make):
     assert refused[0] == 413 and refused[2]["x-max-request-size"] == "10"
     api.heartbeat -= 100
     assert api.call("GET", "/ok")[0] == 500
+    Upkeep(api.store, api.beat).once()
+    assert api.call("GET", "/ok")[0] == 200
+    text = api.call("GET", "/metrics")[1].decode()
+    assert 'slog_thread_records_written{partition="p",topic="t"} 3' in text and "# TYPE stored_size_bytes gauge" in text
+    info_ = json.loads(api.call("GET", "/info")[1])
+    assert info_["pending"] and info_["retention_stats"]["files_checked"] == 0
+    api.reconciler.run()
+    info_ = json.loads(api.call("GET", "/info")[1])
+    assert not info_["pending"] and info_["retention_stats"]["files_checked"] == 1 and info_["active_segments"][0]["delta"] == 0
+    api.store.iterate = None
+    assert api.call("POST", "/topic/t/records", b"{}")[0] == 500
+
+
+def test_server_beats_and_closes(spark, make):
+    s = make()
+    s.config.checkpoint_interval_s = 0.05
+    s.append("t", "p", legacy(spark, (1, "a")))
+    server = serve(s, "127.0.0.1:0")
+    server.api.heartbeat -= 100
+    thread = threading.Thread(target=server.serve_forever, daemon=True)
+    thread.start()
+    try:
+        end = time.monotonic() + 20
+        while time.monotonic() < end and (server.api.call("GET", "/ok")[0] != 200 or server.api.reconciler.last is None):
+            time.sleep(0.05)
+        with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/topics") as r:
+            assert json.load(r) == {"topics": [{"name": "t"}]}
+        assert server.api.call("GET", "/ok")[0] == 200 and s.metrics.get("partition_segments", partition="p", topic="t") == 1
+        assert s.metrics.get("reconcile_last_pass") > 0
+    finally:
+        server.shutdown()
+        server.server_close()
+    thread.join(5)
+    assert not thread.is_alive()
+
+
+def test_drains_plan_from_the_manifest_alone(spark, make):
+    s = make()
+    rows = spark.range(40).selectExpr("id as time", "concat('m', id) as message", "cast(id % 2 as string) as k")
+    s.ingest("t", rows, "k", ["time"], 5, drop_key=True)
+    s._chunks = None
+    page = s.iterate_all("t", {"0": 7}, keep=True, ordered=False)
+    plan = page.df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "PushedFilters" in plan
+    assert page.rows == page.df.count() == 33 and page.next == {"0": 20, "1": 20}
+    when = TimeRange(10, 29)
+    part = s.iterate_all("t", {"0": 7}, time=when)
+    assert part.rows == 18 and sorted(messages(part)) == sorted(f"m{i}" for i in range(10, 30) if i % 2 or i >= 14)
+
+
+def test_log_holds_changes_and_snapshots(spark, make, monkeypatch):
+    monkeypatch.setattr("tidelog.sources.manifest.SNAPSHOT", 3)
+    s = make()
+    for k in range(7):
+        s.append("t", "p", legacy(spark, (k, "a")))
+    logged = [json.loads(s.files.read(f"_log/{n}")) for n in s.files.names("_log")]
+    assert [len(x["extend"]) + len(x["add"]) for x in logged] == [1] * 7 and all(len(g["paths"]) == 1 for x in logged for g in x["extend"] + x["add"])
+    assert s.files.names("_snapshots") == [f"{3:020d}.json", f"{6:020d}.json"]
+    for n in range(6):
+        s.files.delete(f"_log/{n:020d}.json")
+    again = Store(spark, s.files.root)
+    assert again.manifest.all() == s.manifest.all() and again.manifest.txns == s.manifest.txns and again.manifest.ends == s.manifest.ends
+    assert again.append("t", "p", legacy(spark, (9, "b"))) == Span(7, 8)
+
+
+def test_removed_segments_leave_no_files(spark, make):
+    s = make()
+    s.ingest("t", spark.range(20).selectExpr("id as time", "'x' as message", "'p' as k"), "k", ["time"], 5, drop_key=True)
+    gone = s.manifest.of("t", "p")[:2]
+    s.manifest.commit(remove=gone)  # a crash before the files go
+    assert s.repair() == sorted(p for g in gone for p in g.paths)
+    s.config.retain = Retain(max_segment_count=0)
+    retention.retain_partitions(s)
+    assert s.files.names("data") == []
 
 
 def test_batches():

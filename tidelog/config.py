@@ -13,6 +13,12 @@ from .types import RowLimit
 MIB = 1 << 20
 
 
+def _yaml(f) -> dict:
+    import yaml
+
+    return yaml.safe_load(f) or {}
+
+
 @dataclass
 class Roll:
     """When a new segment begins before an append."""
@@ -38,7 +44,8 @@ class Config:
     max_page: RowLimit = field(default_factory=RowLimit)
     checkpoint_interval_s: float = 1.0
     headroom_bytes: int = 500 * MIB
-    retention_bytes: int = 99 * 1024 * MIB
+    #: Bytes the whole store may take; None: all of its file system.
+    retention_bytes: int | None = 99 * 1024 * MIB
     roll: Roll = field(default_factory=Roll)
     retain: Retain = field(default_factory=Retain)
     chunk_rows: int = 1000
@@ -53,11 +60,11 @@ class Config:
 
     @classmethod
     def load(cls, *paths: str, env: dict[str, str] | None = None, prefix: str = "TIDELOG") -> Config:
-        """Defaults, then TOML or JSON files in order, then variables such as ``TIDELOG__ROLL__MAX_ROWS``."""
+        """Defaults, then TOML, JSON or (where a parser is installed) YAML files in order, then variables such as ``TIDELOG__ROLL__MAX_ROWS``."""
         out = cls()
         for p in paths:
             with open(p, "rb") as f:
-                out._merge(json.load(f) if p.endswith(".json") else tomllib.load(f))
+                out._merge(_yaml(f) if p.endswith((".yaml", ".yml")) else json.load(f) if p.endswith(".json") else tomllib.load(f))
         for name, value in sorted((os.environ if env is None else env).items()):
             at = name.lower().split("__")
             if at[0] == prefix.lower() and len(at) > 1:

@@ -58,6 +58,9 @@ class Report:
     missing: list[tuple] = field(default_factory=list)
     mismatched: list[tuple] = field(default_factory=list)
     untracked: list[str] = field(default_factory=list)
+    #: Open segments, which may be ahead of the manifest: topic, partition, bytes expected, found, difference.
+    active: list[tuple] = field(default_factory=list)
+    checked: int = 0
     in_flight: int = 0
     fixed: int = 0
     fixing: bool = False
@@ -90,11 +93,14 @@ class Reconciler:
         store.manifest.refresh()
         segments = store.manifest.all()
         for s in segments:
+            out.checked += len(s.paths)
             sizes = [store.files.size(p) for p in s.paths]
             found = sum(n for n in sizes if n >= 0)
             out.expected_bytes += s.file_bytes
             out.actual_bytes += found
             where = (s.topic, s.partition, s.segment)
+            if not s.sealed:
+                out.active.append((s.topic, s.partition, s.file_bytes, found, found - s.file_bytes))
             if any(n < 0 for n in sizes):
                 out.missing.append(where)
             elif found != s.file_bytes:

@@ -22,12 +22,10 @@ def expired(segments: DataFrame, max_bytes: int, max_segment_count: int) -> Data
 def _drop(store: Store, gone: list[Segment]) -> None:
     """First from the manifest, then the files: a crash in between leaves orphans for ``repair``, never dangling rows."""
     while gone and not store.manifest.commit(remove=gone):
-        gone = [s for s in gone if s.segment in store.manifest.segments.get((s.topic, s.partition), {})]
-    kept = {p for s in store.manifest.all() for p in s.paths}
+        gone[:] = [s for s in gone if s.segment in store.manifest.segments.get((s.topic, s.partition), {})]
+    store.free(gone)
     for s in gone:
-        for p in s.paths:
-            if p not in kept:
-                store.files.delete(p)
+        store.metrics.add("partition_segments_destroyed", 1, topic=s.topic, partition=s.partition)
 
 
 def retain_partitions(store: Store) -> list[Segment]:
@@ -43,8 +41,12 @@ def retain_partitions(store: Store) -> list[Segment]:
 def retain_store(store: Store, limit_bytes: int | None = None, headroom: int | None = None) -> list[Segment]:
     """While the whole store is over its limit less headroom, drop the lowest segment of the partition that has the oldest first time."""
     store.manifest.refresh()
-    limit = (store.config.retention_bytes if limit_bytes is None else limit_bytes) - (store.config.headroom_bytes if headroom is None else headroom)
-    left = {k: [s for _, s in sorted(v.items())] for k, v in store.manifest.segments.items() if v}
+    if limit_bytes is None:
+        limit_bytes = store.config.retention_bytes if store.config.retention_bytes is not None else store.files.capacity()
+    limit = limit_bytes - (store.config.headroom_bytes if headroom is None else headroom)
+    left: dict[tuple[str, str], list[Segment]] = {}
+    for s in store.manifest.all():
+        left.setdefault((s.topic, s.partition), []).append(s)
     total = sum(s.size for v in left.values() for s in v) + store.manifest.bytes()
     gone: list[Segment] = []
     while total > limit and left:

@@ -130,7 +130,7 @@ def _second(s: Store, n: int = 300, **more) -> Page:
 
 
 def _filtered(*selectors: str):
-    return _events(lambda s: s.iterate_all("events", partition_filter=list(selectors), keep=True))
+    return _events(lambda s: s.iterate_all("events", partition_filter=list(selectors), keep=True, ordered=False))
 
 
 R = """WITH r AS (
@@ -250,7 +250,7 @@ def estimate_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for topic in ("events", "orders", "documents", "embeddings"):
         s = store(spark, sf_dir, topic)
-        one = s.iterate_all(topic).df
+        one = s.iterate_all(topic, ordered=False).df
         one = one.agg(F.lit(topic).alias("topic"), F.sum(sizes.row_size(one.schema, index=False)).alias("bytes"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -280,7 +280,7 @@ def list_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rechunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = store(spark, sf_dir, "events").iterate_all("events", keep=True)
+    page = store(spark, sf_dir, "events").iterate_all("events", keep=True, ordered=False)
     c = info.rechunk(page.df, INDEX, 700)
     return c.groupBy(F.col(PARTITION).alias("part"), "chunk").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
@@ -295,8 +295,8 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "scan_all": _events(lambda s: s.iterate_all("events", keep=True), "time", "event_id", "user_id", "value", "props"),
-    "assign_offsets": _events(lambda s: s.iterate_all("events", keep=True)),
+    "scan_all": _events(lambda s: s.iterate_all("events", keep=True, ordered=False), "time", "event_id", "user_id", "value", "props"),
+    "assign_offsets": _events(lambda s: s.iterate_all("events", keep=True, ordered=False)),
     "partition_from_offset": _events(lambda s: s.records("events", "click", 50, 100, keep=True)),
     "partition_time_range": _events(lambda s: s.records("events", "view", 0, 10_000, DAY, keep=True), "time", "event_id"),
     "partition_time_from_offset": _events(lambda s: s.records("events", "view", 80, 20, DAY, keep=True), "time", "event_id"),

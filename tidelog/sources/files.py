@@ -71,5 +71,9 @@ class Files:
         """Delete a file or folder; one that is missing is fine."""
         self.fs.delete(self._path(name), True)
 
+    def capacity(self) -> int:
+        """Bytes of the whole file system that the store lies on."""
+        return self.fs.getStatus(self._path("")).getCapacity()
+
     def free(self) -> int:
         return self.fs.getStatus(self._path("")).getRemaining()

@@ -27,9 +27,20 @@ from ..plans.paging import Chunk, Part, Plan, plan_page, visiting_order
 from ..types import CHUNK, DEFAULT_PAGE, INDEX, PARTITION, BadRequest, Cursor, DiskFull, EmptyBody, EmptyStream, Focus, InvalidQuery, Order, Page, PayloadTooLarge, RowLimit, Span, TimeRange, WriterBusy, selected
 from .files import Files
 from .manifest import Manifest, Segment
+from .metrics import Metrics
 
 #: Segments whose matching rows are counted in one job, the first time and at most.
 SEGMENTS_FIRST, SEGMENTS_MOST = 4, 256
+#: Segments of an append and partition whose chunks' statistics are fetched at once.
+SEGMENTS_FETCHED = 64
+#: A page with this limit takes whole segments and needs no statistics of chunks.
+UNLIMITED = RowLimit(2**62, 2**62)
+
+EXTRA = [T.StructField(INDEX, T.LongType()), T.StructField(PARTITION, T.StringType()), T.StructField(CHUNK, T.LongType())]
+
+
+def _nullable(schema: T.StructType) -> list[T.StructField]:
+    return [T.StructField(f.name, f.dataType, True, f.metadata) for f in schema.fields]
 
 
 class Store:
@@ -39,6 +50,7 @@ class Store:
         self.manifest = Manifest(spark, self.files)
         self._chunk_cache: dict[str, dict] = {}
         self.busy: set[tuple[str, str]] = set()
+        self.metrics = Metrics()
 
     # ---- writing
 
@@ -94,14 +106,16 @@ class Store:
         try:
             # rows of a partition in a range stand together; those before it in the range and in earlier ranges come first
             counts = df.groupBy(PARTITION, "__range").agg(F.count("*").alias("n"), F.min("__row").alias("first")).collect()
-            held = [(topic, p) for p in {r[PARTITION] for r in counts}]
-            if taken := [k for k in held if k in self.busy]:
-                raise WriterBusy(f"an append to {taken[0][0]}/{taken[0][1]} is under way")
-            self.busy |= set(held)
+            held = {(topic, r[PARTITION]) for r in counts}
+            with self.manifest.lock:
+                if taken := sorted(held & self.busy, key=str):
+                    raise WriterBusy(f"an append to {taken[0][0]}/{taken[0][1]} is under way")
+                self.busy |= held
             try:
                 return self._store(topic, df, schema, print_, metadata, txn, segment_rows, counts)
             finally:
-                self.busy -= set(held)
+                with self.manifest.lock:
+                    self.busy -= held
         finally:
             df.unpersist()
 
@@ -130,14 +144,17 @@ class Store:
         names = {p: f"p{k}" for k, p in enumerate(sorted(totals))}
         place = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col(PARTITION)] if len(names) > 1 else F.lit(next(iter(names.values())))
         df.withColumn("__place", F.concat(place, F.lit("-"), F.col("__segment").cast("string"))).sortWithinPartitions("__place", INDEX).write.partitionBy("__place").parquet(self.files.full(f"{folder}/rows"))
-        stats = df.groupBy(F.col(PARTITION).alias("partition"), F.col("__segment").alias("segment"), F.col(CHUNK).alias("chunk")).agg(
+        # from what was written: a lost executor may have had ties in another order
+        written = self.spark.read.schema(T.StructType([*_nullable(schema), *EXTRA, T.StructField("__place", T.StringType())])).parquet(self.files.full(f"{folder}/rows"))
+        number = F.substring_index("__place", "-", -1).cast("long")
+        stats = written.groupBy(F.col(PARTITION).alias("partition"), number.alias("segment"), F.col(CHUNK).alias("chunk")).agg(
             F.min(INDEX).alias("start"), (F.max(INDEX) + 1).alias("end"), F.sum(sizes.row_size(schema)).alias("bytes"), F.min(schemas.TIME).alias("time_min"), F.max(schemas.TIME).alias("time_max"))
         stats.write.parquet(self.files.full(f"{folder}/chunks"))
         chunks = self.spark.read.parquet(self.files.full(f"{folder}/chunks"))
         rows = chunks.groupBy("partition", "segment").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("bytes").alias("bytes"), F.min("time_min").alias("t0"), F.max("time_max").alias("t1")).collect()
         last = {p: max(r["segment"] for r in rows if r["partition"] == p) for p in totals}
         unsized = not all(sizes.is_sized(f.dataType) for f in schema.fields)
-        add = []
+        add, extend, seal = [], [], []
         for r in rows:
             p = r["partition"]
             n = r["end"] - r["start"]
@@ -147,16 +164,21 @@ class Store:
             new = Segment(topic, p, r["segment"], print_, r["t0"] if r["t0"] is not None else 0, r["t1"] if r["t1"] is not None else 0, r["start"], r["end"], size, 1, r["segment"] < last[p], [path], [f"{folder}/chunks"], max(0, self.files.size(path)))
             old = heads[p][1]
             if old is not None and old.segment == new.segment:
-                new = replace(new, time_start=min(old.time_start, new.time_start), time_end=max(old.time_end, new.time_end), record_start=old.record_start, size=old.size + new.size, paths=old.paths + new.paths, chunks=[*old.chunks, *new.chunks], file_bytes=old.file_bytes + new.file_bytes)
-            elif old is not None and not old.sealed and r["segment"] == heads[p][0]:
-                add.append(replace(old, sealed=True))
+                extend.append(new)
+                continue
+            if old is not None and not old.sealed and r["segment"] == heads[p][0]:
+                seal.append(old)
+                self.metrics.add("slog_roll", 1, topic=topic, partition=p)
+                if old.schema != print_:
+                    self.metrics.add("partition_schema_change", 1, topic=topic, partition=p)
             add.append(new)
-        done = self.manifest.commit(add=add, schemas={print_: {"fields": schema.json(), "metadata": metadata}}, topics=[topic], txn=txn)
-        while not done:
+        commit = functools.partial(self.manifest.commit, add=add, extend=extend, seal=seal, schemas={print_: {"fields": schema.json(), "metadata": metadata}}, topics=[topic], txn=txn)
+        while not commit():
             if any(self.manifest.ends.get((topic, p), 0) != starts[p] for p in totals):
                 self.files.delete(folder)
                 raise WriterBusy("another append took these offsets")
-            done = self.manifest.commit(add=add, schemas={print_: {"fields": schema.json(), "metadata": metadata}}, topics=[topic], txn=txn)
+        for p, n in totals.items():
+            self.metrics.add("slog_thread_records_written", n, topic=topic, partition=p)
         return {p: Span(starts[p], starts[p] + n) for p, n in totals.items()}
 
     def _head(self, topic: str, partition: str, print_: str) -> tuple[int, Segment | None]:
@@ -192,15 +214,16 @@ class Store:
         return self.spark.read.parquet(*[self.files.full(c) for c in folders]).join(kept, ["partition", "segment"], "left_semi")
 
     def _chunks(self, s: Segment) -> list:
-        """Chunk statistics of a segment, in order; read once a folder and partition."""
+        """Chunk statistics of a segment, in order; read once a folder, partition and run of ``SEGMENTS_FETCHED`` segments."""
         out = []
+        first = s.segment // SEGMENTS_FETCHED * SEGMENTS_FETCHED
         for c in s.chunks:
-            key = f"{c}|{s.partition}"
+            key = f"{c}|{s.partition}|{first}"
             if key not in self._chunk_cache:
                 if len(self._chunk_cache) > 256:
                     self._chunk_cache.clear()
                 by: dict[int, list] = {}
-                for r in self.spark.read.parquet(self.files.full(c)).where(F.col("partition") == s.partition).collect():
+                for r in self.spark.read.parquet(self.files.full(c)).where((F.col("partition") == s.partition) & F.col("segment").between(first, first + SEGMENTS_FETCHED - 1)).collect():
                     by.setdefault(r["segment"], []).append(r)
                 self._chunk_cache[key] = by
             out += self._chunk_cache[key].get(s.segment, [])
@@ -210,10 +233,11 @@ class Store:
 
     def scan(self, segments: Iterable[Segment], print_: str) -> DataFrame:
         """All rows of segments of one schema, with the store's columns; folders that are gone give no rows."""
-        kinds = self.schema(print_)
-        extra = [T.StructField(INDEX, T.LongType()), T.StructField(PARTITION, T.StringType()), T.StructField(CHUNK, T.LongType())]
-        full = T.StructType([*kinds.fields, *extra])
-        paths = [self.files.full(p) for s in segments for p in s.paths if self.files.exists(p)]
+        full = T.StructType([*self.schema(print_).fields, *EXTRA])
+        named = [p for s in segments for p in s.paths]
+        # one listing an append, not one call a segment
+        there = {f"{rows}/{n}" for rows in {p.rsplit("/", 1)[0] for p in named} for n in self.files.names(rows)}
+        paths = [self.files.full(p) for p in named if p in there]
         if not paths:
             return self.spark.createDataFrame([], full)
         return self.spark.read.schema(full).parquet(*paths)
@@ -224,20 +248,23 @@ class Store:
         page = self._page(topic, [(start, partition)] if self.manifest.span(topic, partition) else [], limit or self._limit(page_size), Order.ASC, time, focus, keep)
         return page
 
-    def iterate(self, topic: str, cursor: Cursor | None = None, page_size: int | None = None, order: Order | str | None = None, partition_filter: list[str] | None = None, time: TimeRange | None = None, focus: Focus | None = None, keep: bool = False, limit: RowLimit | None = None) -> Page:
+    def iterate(self, topic: str, cursor: Cursor | None = None, page_size: int | None = None, order: Order | str | None = None, partition_filter: list[str] | None = None, time: TimeRange | None = None, focus: Focus | None = None, keep: bool = False, limit: RowLimit | None = None, ordered: bool = True) -> Page:
         """A page of all partitions of a topic from ``cursor`` on; ``next`` is the cursor after it."""
         order, cursor = Order.parse(order), dict(cursor or {})
         if order is Order.DESC and time is not None:
             raise InvalidQuery("time ranges are read forward only")
         self.manifest.refresh()
         visits = visiting_order(self.manifest.spans(topic), cursor, order, lambda p: selected(p, partition_filter))
-        page = self._page(topic, visits, limit or self._limit(page_size), order, time, focus, keep)
+        page = self._page(topic, visits, limit or self._limit(page_size), order, time, focus, keep, ordered)
         page.next = cursor | {p: pos for pos, p in visits} | page.next
         return page
 
-    def iterate_all(self, topic: str, cursor: Cursor | None = None, partition_filter: list[str] | None = None, time: TimeRange | None = None, focus: Focus | None = None, keep: bool = False) -> Page:
-        """All rows from ``cursor`` on that pages would give before the first change of schema, as one scan without limits."""
-        page = self.iterate(topic, cursor, None, Order.ASC, partition_filter, time, focus, keep, limit=RowLimit(2**62, 2**62))
+    def iterate_all(self, topic: str, cursor: Cursor | None = None, partition_filter: list[str] | None = None, time: TimeRange | None = None, focus: Focus | None = None, keep: bool = False, ordered: bool = True) -> Page:
+        """All rows from ``cursor`` on that pages would give before the first change of schema, as one scan without limits.
+
+        Without ``ordered`` rows come as they are read, by partition and offset only within a file, and nothing is shuffled.
+        """
+        page = self.iterate(topic, cursor, None, Order.ASC, partition_filter, time, focus, keep, limit=UNLIMITED, ordered=ordered)
         if not page.rows:
             raise EmptyStream(f"nothing to read in {topic}")
         return page
@@ -248,10 +275,12 @@ class Store:
             raise BadRequest("a page cannot have fewer than no rows")
         return replace(self.config.max_page, max_records=n).min(self.config.max_page)
 
-    def _page(self, topic: str, visits: list[tuple[int, str]], limit: RowLimit, order: Order, time: TimeRange | None, focus: Focus | None, keep: bool) -> Page:
+    def _page(self, topic: str, visits: list[tuple[int, str]], limit: RowLimit, order: Order, time: TimeRange | None, focus: Focus | None, keep: bool, ordered: bool = True) -> Page:
         visits = [v for v in visits if self.manifest.span(topic, v[1])]
         if time is not None:
-            plan, moved = plan_page(visits, functools.partial(self._timed, topic, time), limit, order)
+            plan, moved = plan_page(visits, functools.partial(self._timed, topic, time, limit is UNLIMITED), limit, order)
+        elif limit is UNLIMITED:
+            plan, moved = plan_page(visits, functools.partial(self._whole, topic), limit, order)
         else:
             # the bytes of part of a chunk are only counted where the byte limit may be reached
             plan, moved = plan_page(visits, functools.partial(self._between, topic, order, False), limit, order)
@@ -260,10 +289,16 @@ class Store:
         span = None
         if plan.parts and len(visits) == 1:
             span = Span(plan.parts[0].lo, plan.parts[0].hi + 1)
-        df = self._frame(topic, plan, order, time, focus, keep)
+        df = self._frame(topic, plan, order, time, focus, keep, ordered)
         meta = self.metadata(plan.schema) if plan.schema else {}
         return Page(df, plan.status, moved, span, plan.rows, meta)
 
+    def _whole(self, topic: str, partition: str, position: int) -> Iterator[Chunk]:
+        """Segments from an offset on, each as one chunk: offsets are dense, so the manifest alone tells their rows."""
+        for s in self.manifest.by_offset(topic, partition, position):
+            lo = max(s.record_start, position)
+            yield Chunk(s.schema, lo, s.record_end - 1, s.record_end - lo, s.size, s.segment)
+
     def _between(self, topic: str, order: Order, exact: bool, partition: str, position: int) -> Iterator[Chunk]:
         """Chunks from an offset on, or before it in reverse."""
         back = order is Order.DESC
@@ -280,8 +315,8 @@ class Store:
                 first, last = (hi - 1, lo) if back else (lo, hi - 1)
                 yield Chunk(s.schema, first, last, hi - lo, size, s.segment)
 
-    def _timed(self, topic: str, time: TimeRange, partition: str, position: int) -> Iterator[Chunk]:
-        """Chunks of rows from an offset on within a time range, counted some segments at a time, so that a page reads few of them."""
+    def _timed(self, topic: str, time: TimeRange, whole: bool, partition: str, position: int) -> Iterator[Chunk]:
+        """Chunks, or ``whole`` segments, of rows from an offset on within a time range, counted some segments at a time, so that a page reads few of them."""
         left, step = self.manifest.by_time(topic, partition, position, time.start, time.end), SEGMENTS_FIRST
         while left:
             few = [left[0]]
@@ -289,6 +324,12 @@ class Store:
                 few.append(left[len(few)])
             left, step = left[len(few) :], min(4 * step, SEGMENTS_MOST)
             hit = self.scan(few, few[0].schema).where((F.col(INDEX) >= position) & F.col(schemas.TIME).between(time.start, time.end))
+            if whole:
+                starts = F.array(*[F.lit(s.record_start) for s in few])
+                nth = F.size(F.filter(starts, lambda x: x <= F.col(INDEX))).alias("nth")
+                for r in hit.groupBy(nth).agg(F.count("*").alias("n"), F.min(INDEX).alias("lo"), F.max(INDEX).alias("hi")).orderBy("nth").collect():
+                    yield Chunk(few[0].schema, r["lo"], r["hi"], r["n"], 0, few[r["nth"] - 1].segment)
+                continue
             got = hit.groupBy(CHUNK).agg(F.count("*").alias("n"), F.sum(sizes.row_size(self.schema(few[0].schema))).alias("bytes"), F.min(INDEX).alias("lo"), F.max(INDEX).alias("hi")).orderBy(CHUNK).collect()
             for r in got:
                 chunk = r[CHUNK]
@@ -300,7 +341,7 @@ class Store:
                 segment = next((s.segment for s in few if s.record_start <= r["lo"] < s.record_end), few[0].segment)
                 yield Chunk(few[0].schema, r["lo"], r["hi"], r["n"], r["bytes"] or 0, segment, lambda n, at=places: at()[n])
 
-    def _frame(self, topic: str, plan: Plan, order: Order, time: TimeRange | None, focus: Focus | None, keep: bool) -> DataFrame:
+    def _frame(self, topic: str, plan: Plan, order: Order, time: TimeRange | None, focus: Focus | None, keep: bool, ordered: bool) -> DataFrame:
         if not plan.parts or plan.schema is None:
             return self.spark.createDataFrame([], T.StructType([]))
         segments = [s for p in plan.parts for s in self.manifest.of(topic, p.partition) if s.segment in set(p.segments)]
@@ -314,18 +355,34 @@ class Store:
         df = df.where(where)
         if focus:
             df = focusing.apply(df, self.schema(plan.schema), focus)
-        df = df.drop(CHUNK).orderBy(*rank, index)
+        df = df.drop(CHUNK).orderBy(*rank, index) if ordered else df.drop(CHUNK)
         return df if keep else df.drop(PARTITION, INDEX)
 
     @staticmethod
     def _inside(p: Part):
         return (F.col(PARTITION) == p.partition) & F.col(INDEX).between(p.lo, p.hi)
 
+    def free(self, removed: Iterable[Segment]) -> None:
+        """Delete what only ``removed`` segments held, and an append's whole folder with its statistics after its last segment."""
+        live = {p for s in self.manifest.all() for p in s.paths}
+        used = {p.split("/")[1] for p in live}
+        for n in {p.split("/")[1] for s in removed for p in s.paths} - used:
+            self.files.delete(f"data/{n}")
+        for p in {p for s in removed for p in s.paths}:
+            if p not in live and p.split("/")[1] in used:
+                self.files.delete(p)
+
     def repair(self) -> list[str]:
-        """Delete data of appends that were never committed; returns their folders."""
+        """Delete data that no segment names: of appends that were never committed, and of segments removed before a crash; returns the folders."""
         self.manifest.refresh()
-        used = {path.split("/")[1] for s in self.manifest.all() for path in s.paths} | self.manifest.txns
-        gone = [f"data/{n}" for n in self.files.names("data") if n not in used]
+        live = {path for s in self.manifest.all() for path in s.paths}
+        used = {path.split("/")[1] for path in live}
+        gone = []
+        for n in self.files.names("data"):
+            if n not in used:
+                gone.append(f"data/{n}")
+            else:
+                gone += [p for x in self.files.names(f"data/{n}/rows") if x.startswith("__place=") and (p := f"data/{n}/rows/{x}") not in live]
         for n in gone:
             self.files.delete(n)
         return gone

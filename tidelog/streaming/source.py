@@ -42,7 +42,7 @@ class MicroBatches:
         while True:
             number, cursor = self._state()
             try:
-                page = self.store.iterate_all(self.topic, cursor, keep=True)
+                page = self.store.iterate_all(self.topic, cursor, keep=True, ordered=False)
             except EmptyStream:
                 return n
             self.handle(page.df, number)
