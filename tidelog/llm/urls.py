@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sheltered, unsheltered
+from .common import cut, sheltered, unsheltered
 
 # The rules, as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -133,7 +133,8 @@ def _leaf(t: dict, leaves: dict[int, dict]) -> Column:
 
 def train(labelled: DataFrame, sample: int = 20000, rounds: int = 12, depth: int = 3, bins: int = 16, rate: float = 0.4) -> Trees:
     """Boost ``rounds`` trees on the logistic loss of ``labelled(url, label)``; rows with null url or another label than 0 and 1 are left out."""
-    rows = labelled.where(F.col("url").isNotNull() & F.col("label").isin(0, 1)).orderBy(F.xxhash64("url"), "url", "label").limit(sample)
+    # cut, here and below: each level of each tree is a job, whose plan would hold the expressions of all features
+    rows = cut(labelled.where(F.col("url").isNotNull() & F.col("label").isin(0, 1)).select("url", "label").orderBy(F.xxhash64("url"), "url", "label").limit(sample))
     base = rows.agg(F.sum(F.col("label").cast("double")), F.count("*")).first()
     pos, n = base[0] or 0.0, base[1]
     usual = (pos + 1) / (n + 2)
@@ -144,11 +145,12 @@ def train(labelled: DataFrame, sample: int = 20000, rounds: int = 12, depth: int
         return model
     x = model.columns(F.col("url"))
     names = list(x)
-    data = rows.select(F.col("label").cast("double").alias("y"), *[v.cast("double").alias(k) for k, v in x.items()]).persist()
+    data = cut(rows.select(F.col("label").cast("double").alias("y"), *[v.cast("double").alias(k) for k, v in x.items()]))
     edges = data.agg(*[F.percentile_approx(k, [i / bins for i in range(1, bins)], 1000).alias(k) for k in names]).first()
     edges = {k: sorted(set(edges[k])) for k in names}
     bin_of = lambda k: sum((F.when(F.col(k) > e, 1).otherwise(0) for e in edges[k]), F.lit(0))
-    binned = data.withColumn("binned", F.array(*[F.struct(F.lit(i).alias("f"), bin_of(k).alias("bin")) for i, k in enumerate(names)])).persist()
+    binned = data.withColumn("binned", F.array(*[F.struct(F.lit(i).alias("f"), bin_of(k).alias("bin")) for i, k in enumerate(names)]))
+    binned = cut(binned)
 
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-model.margin({k: F.col(k) for k in names})))
@@ -182,8 +184,6 @@ def train(labelled: DataFrame, sample: int = 20000, rounds: int = 12, depth: int
             if not leaves:
                 break
         model.trees.append(root)
-    data.unpersist()
-    binned.unpersist()
     return model
 
 
