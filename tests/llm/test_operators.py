@@ -163,15 +163,20 @@ def test_urls(spark):
 
     assert len(set().union(*map(used, model.trees))) >= 5
     # the trees' scores by walking them row by row
-    names = list(model.columns(F.col("url")))
-    some = pages.select("page_id", *[v.cast("double").alias(k) for k, v in model.columns(F.col("url")).items()]).collect()
+    some = model.described(pages).collect()
 
     def walk(t, r):
-        return t["leaf"] if "leaf" in t else walk(t["low"] if r[t["feature"]] <= t["at"] else t["high"], r)
+        return t["leaf"] if "leaf" in t else walk(t["low"] if r["_x_" + t["feature"]] <= t["at"] else t["high"], r)
 
     for r in some:
         assert math.isclose(got[r["page_id"]]["score"], 1 / (1 + math.exp(-model.start - sum(walk(t, r) for t in model.trees))), rel_tol=1e-9)
-    assert "suffix_rate" in names and urls.judge(pages.limit(0), model).count() == 0
+    for r in some:
+        u, h = r["url"] or "", brute_url(r["url"])[0]
+        shares = [h.count(c) / len(h) for c in set(h) if c in "abcdefghijklmnopqrstuvwxyz0123456789-._"]
+        assert math.isclose(r["_x_entropy"], -sum(q * math.log2(q) for q in shares), abs_tol=1e-9)
+        assert r["_x_length"] == len(u) and math.isclose(r["_x_digit_ratio"], len(re.findall("[0-9]", u)) / max(len(u), 1))
+        assert r["_x_suffix_rate"] == model.suffixes.get(h.split(".")[-1], model.usual)
+    assert urls.judge(pages.limit(0), model).count() == 0
     one = urls.train(urls.labelled_urls(spark, 100).where("label = 0"))
     assert one.trees == []
 

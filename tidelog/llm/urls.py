@@ -18,6 +18,9 @@ from .common import cut, sheltered, unsheltered
 # The rules, as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
+#: Length, depth, digit ratio, entropy, parameter counts and suffix statistics of a URL, and some more of its host.
+FEATURES = ("length", "host_length", "depth", "host_parts", "digit_ratio", "host_digits", "entropy", "parameters", "hyphens", "hyphen_words", "suffix_rate")
+
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -41,36 +44,39 @@ def ruled(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def lexical(url: Column) -> dict[str, Column]:
-    """Lexical features but for the suffix statistic, which needs labels."""
-    host, path, rest = parts(url)
-    u = F.coalesce(url, F.lit(""))
-    n = F.greatest(F.length(host), F.lit(1))
+def described(urls: DataFrame, rates: dict[str, float], usual: float) -> DataFrame:
+    """``urls(url, ...)`` plus ``_host, _path, _rest``, and a column ``_x_<name>`` for each of ``FEATURES``.
+
+    Built in steps, so that the optimiser keeps each part of the URL as one column instead of copying its expression into every feature.
+    """
+    host, path, rest = parts(F.col("url"))
+    urls = urls.select("*", host.alias("_host"), path.alias("_path"), rest.alias("_rest"), F.coalesce("url", F.lit("")).alias("_u"))
+    urls = urls.select(
+        "*",
+        F.greatest(F.length("_host"), F.lit(1)).alias("_n"),
+        F.regexp_extract("_rest", r"\A\?([^#]*)", 1).alias("_query"),
+        F.regexp_extract("_host", r"([^.]*)\.[^.]*\.[^.]*\z", 1).alias("_name"),
+        F.substring_index("_host", ".", -1).alias("_suffix"),
+    )
     count = lambda s, p: F.length(s) - F.length(F.regexp_replace(s, p, ""))
-    letters = "abcdefghijklmnopqrstuvwxyz0123456789-._"
-    entropy = F.lit(0.0)
-    for c in letters:
-        share = (F.length(host) - F.length(F.translate(host, c, ""))) / n
-        entropy = entropy - F.when(share > 0, share * F.log2(share)).otherwise(0.0)
-    query = F.regexp_extract(rest, r"\A\?([^#]*)", 1)
-    name = F.regexp_extract(host, r"([^.]*)\.[^.]*\.[^.]*\z", 1)
-    return {
-        "length": F.length(u),
-        "host_length": F.length(host),
-        "depth": F.size(F.filter(F.split(path, "/"), lambda x: x != "")),
-        "host_parts": F.size(F.filter(F.split(host, r"\."), lambda x: x != "")),
-        "digit_ratio": count(u, "[0-9]") / F.greatest(F.length(u), F.lit(1)),
-        "host_digits": count(host, "[0-9]") / n,
-        "entropy": entropy,
-        "parameters": F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))),
-        "hyphens": count(host, "-"),
-        "hyphen_words": F.size(F.split(F.when(name == "", host).otherwise(name), "-")),
+    filled = lambda s, p: F.size(F.filter(F.split(s, p), lambda x: x != ""))
+    share = lambda c: (F.length("_host") - F.length(F.translate("_host", c, ""))) / F.col("_n")
+    shares = F.array(*[share(c) for c in LOWER[1] + "0123456789-._"])
+    rate = F.element_at(F.create_map(*[F.lit(v) for kv in rates.items() for v in kv]), F.col("_suffix")) if rates else F.lit(None)
+    x = {
+        "length": F.length("_u"),
+        "host_length": F.length("_host"),
+        "depth": filled("_path", "/"),
+        "host_parts": filled("_host", r"\."),
+        "digit_ratio": count("_u", "[0-9]") / F.greatest(F.length("_u"), F.lit(1)),
+        "host_digits": count("_host", "[0-9]") / F.col("_n"),
+        "entropy": F.aggregate(shares, F.lit(0.0), lambda e, q: e - F.when(q > 0, q * F.log2(q)).otherwise(0.0)),
+        "parameters": F.when(F.col("_query") == "", 0).otherwise(F.size(F.split("_query", "&"))),
+        "hyphens": count("_host", "-"),
+        "hyphen_words": F.size(F.split(F.when(F.col("_name") == "", F.col("_host")).otherwise(F.col("_name")), "-")),
+        "suffix_rate": F.coalesce(rate, F.lit(usual)),
     }
-
-
-def suffix(url: Column) -> Column:
-    """The host's last label, lower-cased."""
-    return F.substring_index(parts(url)[0], ".", -1)
+    return urls.select("*", *[x[k].cast("double").alias(f"_x_{k}") for k in FEATURES]).drop("_u", "_n", "_query", "_name", "_suffix")
 
 
 def labelled_urls(spark: SparkSession, n: int = 6000) -> DataFrame:
@@ -99,66 +105,60 @@ def labelled_urls(spark: SparkSession, n: int = 6000) -> DataFrame:
 
 @dataclass
 class Trees:
-    """Boosted trees of depth 2 or more over binned features, with the suffix statistic and the starting log-odds."""
+    """Boosted trees over ``FEATURES``, with the suffix statistic and the starting log-odds."""
 
     trees: list[dict]
     suffixes: dict[str, float]
     usual: float
     start: float
 
-    def columns(self, url: Column) -> dict[str, Column]:
-        s, rate = suffix(url), F.lit(self.usual)
-        for name, v in self.suffixes.items():
-            rate = F.when(s == name, v).otherwise(rate)
-        return lexical(url) | {"suffix_rate": rate}
+    def described(self, urls: DataFrame) -> DataFrame:
+        return described(urls, self.suffixes, self.usual)
+
+    def margin(self) -> Column:
+        """Log-odds of a row of ``described``."""
+        return sum((_walk(t) for t in self.trees), F.lit(self.start))
 
-    def margin(self, x: dict[str, Column]) -> Column:
-        def walk(t: dict) -> Column:
-            if "leaf" in t:
-                return F.lit(t["leaf"])
-            return F.when(x[t["feature"]] <= t["at"], walk(t["low"])).otherwise(walk(t["high"]))
 
-        out = F.lit(self.start)
-        for t in self.trees:
-            out = out + walk(t)
-        return out
+def _walk(t: dict) -> Column:
+    if "leaf" in t:
+        return F.lit(t["leaf"])
+    return F.when(F.col("_x_" + t["feature"]) <= t["at"], _walk(t["low"])).otherwise(_walk(t["high"]))
 
 
 def _leaf(t: dict, leaves: dict[int, dict]) -> Column:
     """Number of the open leaf that a row falls into; -1 for finished ones."""
     if "feature" in t:
-        return F.when(F.col(t["feature"]) <= t["at"], _leaf(t["low"], leaves)).otherwise(_leaf(t["high"], leaves))
+        return F.when(F.col("_x_" + t["feature"]) <= t["at"], _leaf(t["low"], leaves)).otherwise(_leaf(t["high"], leaves))
     return F.lit(next((k for k, v in leaves.items() if v is t), -1))
 
 
 def train(labelled: DataFrame, sample: int = 20000, rounds: int = 12, depth: int = 3, bins: int = 16, rate: float = 0.4) -> Trees:
-    """Boost ``rounds`` trees on the logistic loss of ``labelled(url, label)``; rows with null url or another label than 0 and 1 are left out."""
-    # cut, here and below: each level of each tree is a job, whose plan would hold the expressions of all features
+    """Boost ``rounds`` trees on the logistic loss of ``labelled(url, label)``; rows with null url or another label than 0 and 1 are left out.
+
+    Suffix statistics are of every suffix in the sample, drawn towards the usual rate by 20 rows.
+    """
+    # cut, here and below: each level of each tree is a job, whose plan would hold the expressions of all features and trees
     rows = cut(labelled.where(F.col("url").isNotNull() & F.col("label").isin(0, 1)).select("url", "label").orderBy(F.xxhash64("url"), "url", "label").limit(sample))
     base = rows.agg(F.sum(F.col("label").cast("double")), F.count("*")).first()
     pos, n = base[0] or 0.0, base[1]
     usual = (pos + 1) / (n + 2)
-    # suffix statistics, drawn towards the usual rate; the most frequent 64 suffixes
-    stats = rows.groupBy(suffix(F.col("url")).alias("s")).agg(F.sum("label").alias("p"), F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(64).collect()
+    stats = rows.groupBy(F.substring_index(parts(F.col("url"))[0], ".", -1).alias("s")).agg(F.sum("label").alias("p"), F.count("*").alias("n")).orderBy(F.desc("n"), "s").collect()
     model = Trees([], {r["s"]: (r["p"] + 20 * usual) / (r["n"] + 20) for r in stats}, usual, math.log(usual / (1 - usual)))
     if not n or pos in (0, n):
         return model
-    x = model.columns(F.col("url"))
-    names = list(x)
-    data = cut(rows.select(F.col("label").cast("double").alias("y"), *[v.cast("double").alias(k) for k, v in x.items()]))
-    edges = data.agg(*[F.percentile_approx(k, [i / bins for i in range(1, bins)], 1000).alias(k) for k in names]).first()
-    edges = {k: sorted(set(edges[k])) for k in names}
-    bin_of = lambda k: sum((F.when(F.col(k) > e, 1).otherwise(0) for e in edges[k]), F.lit(0))
-    binned = data.withColumn("binned", F.array(*[F.struct(F.lit(i).alias("f"), bin_of(k).alias("bin")) for i, k in enumerate(names)]))
-    binned = cut(binned)
+    data = cut(model.described(rows).select(F.col("label").cast("double").alias("y"), F.lit(model.start).alias("m"), *[f"_x_{k}" for k in FEATURES]))
+    edges = data.agg(*[F.percentile_approx(f"_x_{k}", [i / bins for i in range(1, bins)], 1000).alias(k) for k in FEATURES]).first()
+    edges = {k: sorted(set(edges[k])) for k in FEATURES}
+    bin_of = lambda k: sum((F.when(F.col(f"_x_{k}") > e, 1).otherwise(0) for e in edges[k]), F.lit(0))
+    data = cut(data.withColumn("binned", F.array(*[F.struct(F.lit(i).alias("f"), bin_of(k).alias("bin")) for i, k in enumerate(FEATURES)])))
 
+    p = 1 / (1 + F.exp(-F.col("m")))
     for _ in range(rounds):
-        p = 1 / (1 + F.exp(-model.margin({k: F.col(k) for k in names})))
-        leaves: dict[int, dict] = {0: {}}
-        root = leaves[0]
-        for level in range(depth + 1):
-            at = _leaf(root, leaves)
-            got = binned.select(at.alias("leaf"), (p - F.col("y")).alias("g"), (p * (1 - p)).alias("h"), F.explode("binned").alias("s")).where("leaf >= 0")
+        root: dict = {}
+        leaves = {0: root}
+        for level in range(depth):
+            got = data.select(_leaf(root, leaves).alias("leaf"), (p - F.col("y")).alias("g"), (p * (1 - p)).alias("h"), F.explode("binned").alias("s")).where("leaf >= 0")
             sums = got.groupBy("leaf", "s.f", "s.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # leaves x features x bins
             table: dict = {}
             for r in sums:
@@ -168,22 +168,24 @@ def train(labelled: DataFrame, sample: int = 20000, rounds: int = 12, depth: int
                 feats = table.get(k, {})
                 g, h = (sum(v[i] for v in feats.get(0, {}).values()) for i in (0, 1))
                 best = None
-                for f, by in sorted(feats.items()) if level < depth else ():
+                for f, by in sorted(feats.items()):
                     gl = hl = 0.0
-                    for b, edge in enumerate(edges[names[f]]):
+                    for b, edge in enumerate(edges[FEATURES[f]]):
                         gl, hl = gl + by.get(b, (0, 0))[0], hl + by.get(b, (0, 0))[1]
                         gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
                         if hl > 1 and h - hl > 1 and gain > 1e-3 and (best is None or gain > best[0] + 1e-9):
-                            best = (gain, names[f], edge)
+                            best = (gain, FEATURES[f], edge, (gl, hl), (g - gl, h - hl))
                 if best is None:
                     t["leaf"] = round(-rate * g / (h + 1), 6)
-                else:
-                    t |= {"feature": best[1], "at": best[2], "low": {}, "high": {}}
-                    new[2 * k + 1], new[2 * k + 2] = t["low"], t["high"]
+                    continue
+                low, high = ({"leaf": round(-rate * gg / (hh + 1), 6)} if level + 1 == depth else {} for gg, hh in best[3:])
+                t |= {"feature": best[1], "at": best[2], "low": low, "high": high}
+                new[2 * k + 1], new[2 * k + 2] = low, high
             leaves = new
             if not leaves:
                 break
         model.trees.append(root)
+        data = cut(data.withColumn("m", F.col("m") + _walk(root)))
     return model
 
 
@@ -195,11 +197,10 @@ def judge(pages: DataFrame, model: Trees, rules: tuple = RULES, block_at: float
     rows are each judged; other columns pass through, those named like the results are replaced.
     """
     new = ("host", "path", "rule", "verdict", "score")
-    host, path, _ = parts(F.col("url"))
-    x = model.columns(F.col("url"))
     pages, kept = sheltered(pages.select(*[c for c in pages.columns if c not in new]), ("url",))
-    wide = pages.select("*", host.alias("host"), path.alias("path"), F.struct(*[v.alias(k) for k, v in x.items()]).alias("_x"))
-    score = 1 / (1 + F.exp(-model.margin({k: F.col(f"_x.{k}") for k in x})))
-    out = wide.withColumn("_r", ruled(F.col("host"), F.col("path"), rules)).withColumn("score", score)
+    names = pages.columns
+    out = model.described(pages).withColumn("score", 1 / (1 + F.exp(-model.margin())))
+    out = out.withColumn("_r", ruled(F.col("_host"), F.col("_path"), rules))
     verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("score") >= block_at, "block").otherwise("allow"))
-    return unsheltered(out.withColumn("rule", F.col("_r.rule")).withColumn("verdict", verdict).drop("_x", "_r"), kept)
+    out = out.select(*names, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_r.rule").alias("rule"), verdict.alias("verdict"), "score")
+    return unsheltered(out, kept)
