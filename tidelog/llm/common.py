@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import tempfile
 
@@ -52,6 +53,15 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the cleaner delete, now, shuffle files of plans that nothing refers to any more.
+
+    It only learns of them when the driver's heap is collected, which can be long after many rounds have left theirs.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tasks(spark: SparkSession) -> int:
     """Number of partitions for explicit repartitioning, as the session sets it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -91,6 +101,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         )
         e = cut(small.unionByName(e.where("a = b")).distinct())
         after = _state(e)
+        del both, low, large, small
+        release(edges.sparkSession)
         if after == before:
             break
         before = after

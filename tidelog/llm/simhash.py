@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, sheltered, star, tasks, trim, unsheltered
+from .common import components, cut, release, sheltered, star, tasks, trim, unsheltered
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bits of the three blocks that a fingerprint is cut into.
@@ -491,11 +491,16 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
     texts = d.select(F.col("_node").alias("node"), "text")
     found = cut(candidates(texts, nodes.count(), k, similarity))
     pairs = found.where("need >= 0 and a <> b").groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b")
-    links = cut(verified(cut(pairs), texts, k, similarity))
+    pairs = cut(pairs)
+    release(docs.sparkSession)
+    links = cut(verified(pairs, texts, k, similarity))
+    release(docs.sparkSession)
     crowds = found.where("need < 0").select("a", "b").distinct()
     if not crowds.isEmpty():
         comp = cut(components(crowds))
         links = links.unionByName(dense_links(shingle_sets(comp.select("node"), texts, k).join(comp, "node"), similarity))
+    links = cut(links)
+    release(docs.sparkSession)
     comp = components(links)
     ranked = nodes.join(comp, "node").select("node", "comp", "ord")
     best = ranked.groupBy("comp").agg(F.min(F.struct("ord", "node")).alias("best"))
