@@ -91,13 +91,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         large = (
             both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(low.select("a", F.col("m").alias("b")))
-            .where("a > b").distinct()
+            .where("a > b")
         )
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(low.select("a", F.col("m").alias("b")))
-            .where("a > b").distinct()
+            .where("a > b")
         )
         e = cut(small.unionByName(e.where("a = b")).distinct())
         after = _state(e)
