@@ -128,6 +128,36 @@ def test_links_within_large_components(spark, monkeypatch):
     assert got == {i: (int(links[i].sum()) - 1, comp[i]) for i in range(300)}
 
 
+def test_links_that_passes_miss(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 64))  # in the open
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 4000, 2):  # pairs just within the bound
+        side = rng.normal(size=64)
+        side -= side @ x[i] * x[i]
+        x[i + 1] = 0.9505 * x[i] + np.sqrt(1 - 0.9505**2) * side / np.linalg.norm(side)
+    links = x @ x.T >= 0.95
+    comp = reach([np.flatnonzero(r).tolist() for r in links])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {i: (int(links[i].sum()) - 1, comp[i]) for i in range(4000)}
+
+
+def test_exact_check_alone(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "links", lambda classes, *_: classes.sparkSession.createDataFrame([], "a long, b long"))  # passes that find nothing
+    monkeypatch.setattr(embeddings, "BALL", 16)
+    monkeypatch.setattr(embeddings, "TILE", 32)
+    monkeypatch.setattr(embeddings, "STEP", 500)
+    rng = np.random.default_rng(6)
+    x = [*np.repeat(rng.normal(size=(40, 16)), 10, 0) + 0.12 * rng.normal(size=(400, 16)), *np.repeat(rng.normal(size=(30, 5)), 4, 0) + 0.2 * rng.normal(size=(120, 5)), np.array([2.0]), np.array([-3.0])]
+    stored = [(i, v.tolist()) for i, v in enumerate(x)]
+    adj = brute_links(stored, 0.95)
+    comp = reach(adj)
+    want = sorted((i, len(adj[i]), comp[i], comp[i] == i) for i in range(len(x)))
+    df = spark.createDataFrame(stored, "vec_id long, embedding array<double>").repartition(4)
+    assert sorted(map(tuple, embeddings.near_duplicates(df).collect())) == want
+
+
 # ---- 2
 
 

@@ -1,15 +1,17 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by sorted projection passes, with an exact check of what they leave apart.
 
 Each pass sorts all vectors lexicographically by concatenated random hashes, cuts the order into blocks and compares every vector with those of its own and
-of the neighbouring blocks. A hash is the axis, with sign, nearest to the randomly turned vector, taken from the centre of the vectors that share the hashes before:
-so vectors that crowd around a direction are told apart as well as others. Pairs that really are as near as asked are links; links of all passes are united into components.
+of the neighbouring blocks. A hash is the axis, with sign, nearest to the randomly turned vector, taken from the centre of all vectors of its length.
+Pairs that really are as near as asked are links; links of all passes are united into components.
 
-How many passes it takes depends on how the vectors lie, so it is measured: each batch of passes also carries probes, copies of a sample of the vectors turned to exactly
-the least cosine, and further batches, with blocks twice as long, follow until ``RECALL`` of the probes have met their vector. Pairs that are nearer meet more often.
-Within a component all links are counted exactly. Vectors within half the angle of the component's centre are all linked and counted at once; only the rest is compared, in blocks.
+Passes may miss pairs, so an exact check follows: the order is cut into tiles, and vectors of any two tiles are compared, if they are of different components, unless
+the angles to the balls round a tile's vectors rule a link out. What is found unites the components. Nothing is taken from a sample: centres and balls come from
+all vectors, and centres steer the order alone. Within a component all links are counted exactly. Vectors within half the angle of the component's
+centre are all linked and counted at once; only the rest is compared, in blocks.
 
-Scale: vectors alike are one; a batch is one shuffle by range, so a hash that very many share is spread over tasks; blocks are cut by place in the whole order,
-so the partitioning makes no difference to what meets; no task emits more than one edge for each row and block.
+Scale: vectors alike are one; a pass is a shuffle by range, so a hash that very many share is spread over tasks; blocks and tiles are cut by place in the whole order,
+so the partitioning makes no difference to what meets; no task emits more than one edge for each row and block. The check grows as the square of the
+vectors that no ball rules out: each goes to every tile it may reach, of which there are about the root of eight times the tasks until memory bounds a tile.
 """
 
 from __future__ import annotations
@@ -20,15 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from .common import components, cut, star, tasks
 
-#: Passes of a batch, hashes of a pass, vectors of the first batch's blocks.
+#: Passes, hashes of a pass, vectors of the blocks.
 PASSES, HASHES, WINDOW = 6, 6, 256
-#: Share of probes to be found, and how many there are.
-RECALL, PROBES = 0.995, 1024
-#: Bytes of the sample that centres are taken from, and vectors of it that a centre is taken from at least. Centres only steer the order.
-SAMPLE_BYTES, LEAST = 1 << 24, 32
+#: Vectors of a ball, least number of a tile, bytes of a tile at most, and products of a step of the exact check.
+BALL, TILE, TILE_BYTES, STEP = 512, 1024, 1 << 25, 1 << 22
 #: Vectors of a component compared together.
 BLOCK = 1024
 
@@ -50,39 +51,21 @@ def unit(column: pa.Array) -> list[np.ndarray | None]:
 
 
 class Order:
-    """The hashes of a pass for vectors of one length, with centres from ``sample``."""
+    """The hashes of a pass for vectors of one length, taken from their ``centre``."""
 
-    def __init__(self, which: int, sample: np.ndarray):
-        dim = sample.shape[1]
+    def __init__(self, which: int, centre: np.ndarray):
+        dim = len(centre)
         self.turns = [np.linalg.qr(np.random.default_rng([which, k, dim]).normal(size=(dim, dim)))[0] for k in range(HASHES + 1)]
-        self.centres, self.next = [sample.mean(0)], [np.full(2 * dim, -1, np.int32)]
-        todo = [(0, sample, 0)]
-        while todo:
-            node, x, level = todo.pop()
-            code = self._code(x - self.centres[node], level)[0]
-            for c, n in zip(*np.unique(code, return_counts=True), strict=True):
-                if n >= LEAST and level + 1 < HASHES:
-                    own = x[code == c]
-                    self.next[node][c] = len(self.centres)
-                    todo.append((len(self.centres), own, level + 1))
-                    self.centres.append(own.mean(0))
-                    self.next.append(np.full(2 * dim, -1, np.int32))
-        self.centres, self.next = np.array(self.centres), np.array(self.next)
-
-    def _code(self, x: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        y = x @ self.turns[level]
-        at = np.abs(y).argmax(1)
-        return 2 * at + (y[np.arange(len(y)), at] > 0), y
+        self.centre = centre
 
     def keys(self, x: np.ndarray) -> list[bytes]:
         """Concatenated hashes, two bytes each, then a finer place."""
-        node, cols = np.zeros(len(x), np.int64), []
+        x, cols = x - self.centre, []
         for level in range(HASHES):
-            code, _ = self._code(x - self.centres[node], level)
-            cols.append(code)
-            to = self.next[node, code]
-            node = np.where(to < 0, node, to)
-        fine = np.clip(((x - self.centres[node]) @ self.turns[HASHES][:, 0] + 1) * 32767, 0, 65535).astype(np.int64)
+            y = x @ self.turns[level]
+            at = np.abs(y).argmax(1)
+            cols.append(2 * at + (y[np.arange(len(y)), at] > 0))
+        fine = np.clip((x @ self.turns[HASHES][:, 0] + 1) * 32767, 0, 65535).astype(np.int64)
         return [r.tobytes() for r in np.stack([*cols, fine], 1).astype(">u2")]
 
 
@@ -90,26 +73,13 @@ def near(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return a @ b.T >= least
 
 
-def turned(x: np.ndarray, least: float) -> np.ndarray:
-    """Each unit vector turned, at random, to a cosine of ``least`` with itself."""
-    y = np.random.default_rng(len(x)).normal(size=x.shape)
-    y -= (y * x).sum(1)[:, None] * x
-    return least * x + np.sqrt(max(0.0, 1 - least * least)) * y / np.maximum(np.linalg.norm(y, axis=1)[:, None], 1e-300)
-
-
-def met(head: np.ndarray, x: np.ndarray, ids: np.ndarray, probe: np.ndarray, group: list[bytes], least: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """Stars of links between rows ``head`` and all rows, and the probes among them that meet their vector; rows of different ``group`` don't meet.
-
-    A probe has the id of its vector, and a number from 0; others have -1.
-    """
-    pairs, found = [], []
-    real = probe < 0
+def met(head: np.ndarray, x: np.ndarray, ids: np.ndarray, group: list[bytes], least: float) -> list[tuple[int, int]]:
+    """Stars of links between rows ``head`` and all rows; rows of different ``group`` don't meet."""
+    pairs = []
     g = np.array(group)
     for name in set(group):
-        own = np.flatnonzero(g == name)
-        some = own[real[own]]
-        first = some[head[some]]
-        if len(first) and len(some):
+        some = np.flatnonzero(g == name)
+        if head[some].any():
             v = np.stack([np.frombuffer(x[i], float) for i in some])
             i, j = np.nonzero(near(v[head[some]], v, least))
             i = np.flatnonzero(head[some])[i]
@@ -117,18 +87,34 @@ def met(head: np.ndarray, x: np.ndarray, ids: np.ndarray, probe: np.ndarray, gro
             if apart.any():
                 root = star(len(some), zip(i[apart].tolist(), j[apart].tolist(), strict=True))
                 pairs += [(int(ids[some[a]]), int(ids[some[r]])) for a, r in enumerate(root) if a != r]
-        there = set(ids[some].tolist())
-        found += [int(probe[i]) for i in own[~real[own]] if int(ids[i]) in there]
-    return pairs, found
+    return pairs
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    """``comp, n, s``: number and sum of the vectors of ``rows(comp, x)``; those of a ``comp`` are of one length."""
+    schema = "comp long, n long, s binary"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n, v = held.get(c, (0, 0.0))
+                held[c] = n + 1, v + np.frombuffer(x, float)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([v.tobytes() for _, v in held.values()], pa.binary())], ["comp", "n", "s"])
+
+    def total(t: pa.Table) -> pa.Table:
+        s = np.sum([np.frombuffer(x, float) for x in t.column("s").to_pylist()], axis=0)
+        return pa.table([t.column("comp")[:1], pa.array([sum(t.column("n").to_pylist())], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["comp", "n", "s"])
+
+    return rows.mapInArrow(partial, schema).groupBy("comp").applyInArrow(total, schema)
 
 
-def _batch(classes: DataFrame, orders: dict[int, list[Order]], first: int, passes: int, probes: list[tuple], block: int, least: float, n: int) -> tuple[DataFrame, set[int]]:
-    """Links ``(a, b)`` that ``passes`` passes from number ``first`` on find, and the numbers of the ``probes`` met."""
-    spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(orders)  # bounded by the sample
+def _ordered(rows: DataFrame, orders: dict[int, list[Order]], n: int) -> tuple[DataFrame, dict[int, int], dict[int, int], int]:
+    """``rows(id, x, ...)`` plus ``key, part``, once for each pass, in the order of the keys; where each partition begins, its size, and the number of all."""
+    shared = rows.sparkSession.sparkContext.broadcast(orders)  # some matrices for each length
+    passes, names = max((len(o) for o in orders.values()), default=0), rows.columns
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain: dict[int, list[Order]] = {}
         for b in batches:
             if not b.num_rows:
                 continue
@@ -137,27 +123,30 @@ def _batch(classes: DataFrame, orders: dict[int, list[Order]], first: int, passe
             for k in range(passes):
                 key = [b""] * len(raw)
                 for dim in np.unique(sizes).tolist():
-                    own = shared.value.get(dim) or plain.setdefault(dim, [Order(first + i, np.zeros((1, dim))) for i in range(passes)])
                     at = np.flatnonzero(sizes == dim)
-                    for i, r in zip(at.tolist(), own[k].keys(np.stack([np.frombuffer(raw[i], float) for i in at])), strict=True):
+                    for i, r in zip(at.tolist(), shared.value[dim][k].keys(np.stack([np.frombuffer(raw[i], float) for i in at])), strict=True):
                         key[i] = k.to_bytes(2, "big") + dim.to_bytes(4, "big") + r
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key, pa.binary())], ["id", "x", "probe", "key"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key, pa.binary())], [*names, "key"])
 
-    rows = classes.select("id", "x", F.lit(-1).alias("probe"))
-    if probes:
-        rows = rows.unionByName(spark.createDataFrame(probes, "id long, x binary, probe int"))
-    h = rows.mapInArrow(hashed, "id long, x binary, probe int, key binary")
-    h = cut(h.repartitionByRange(n, "key", "id", "probe").sortWithinPartitions("key", "id", "probe")).withColumn("part", F.spark_partition_id())
+    schema = StructType(list(rows.schema.fields)).add("key", BinaryType())
+    h = rows.mapInArrow(hashed, schema)
+    h = cut(h.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")).withColumn("part", F.spark_partition_id())
     sizes = {r["part"]: r["c"] for r in h.groupBy("part").agg(F.count("*").alias("c")).collect()}  # one row a partition
     begin, total = {}, 0
     for p in sorted(sizes):
         begin[p], total = total, total + sizes[p]
+    return h, begin, sizes, total
+
+
+def links(classes: DataFrame, orders: dict[int, list[Order]], least: float, n: int) -> DataFrame:
+    """Links ``(a, b)`` between the distinct unit vectors ``classes(id, x)`` that the passes find: a star for each set found connected."""
+    block = WINDOW
+    h, begin, sizes, total = _ordered(classes.select("id", "x"), orders, n)
 
-    def out(pairs: list, found: list, edge: list[tuple]) -> pa.RecordBatch:
-        m, k = len(pairs), len(found)
-        none = [None] * (m + k)
-        cols = [[p[0] for p in pairs] + found + [e[1] for e in edge], [p[1] for p in pairs] + [None] * (k + len(edge)), none + [e[0] for e in edge], none + [e[2] for e in edge], none + [e[3] for e in edge], none + [e[4] for e in edge]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["a", "b", "pair", "x", "probe", "key"])
+    def out(pairs: list, edge: list[tuple]) -> pa.RecordBatch:
+        none = [None] * len(pairs)
+        cols = [[p[0] for p in pairs] + [e[1] for e in edge], [p[1] for p in pairs] + [None] * len(edge), none + [e[0] for e in edge], none + [e[2] for e in edge], none + [e[3] for e in edge]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["a", "b", "pair", "x", "key"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of blocks that lie in this partition, and the rows of those that don't."""
@@ -167,10 +156,10 @@ def _batch(classes: DataFrame, orders: dict[int, list[Order]], first: int, passe
             if not b.num_rows:
                 continue
             if at is None:
-                part = b.column(4)[0].as_py()
+                part = b.column(3)[0].as_py()
                 at = start = begin[part]
                 end = start + sizes[part]
-            held += zip(*[c.to_pylist() for c in b.columns[:4]], strict=True)
+            held += zip(*[c.to_pylist() for c in b.columns[:3]], strict=True)
             last = at + len(held) == end
             while held:
                 lo = at // block * block
@@ -180,63 +169,133 @@ def _batch(classes: DataFrame, orders: dict[int, list[Order]], first: int, passe
                     break
                 if lo >= start and hi <= end:
                     some = held[: hi - at]
-                    ids, probe = np.array([r[0] for r in some]), np.array([r[2] for r in some])
-                    pairs, found = met(np.arange(len(some)) < block, [r[1] for r in some], ids, probe, [r[3][:6] for r in some], least)
-                    yield out(pairs, found, [])
+                    yield out(met(np.arange(len(some)) < block, [r[1] for r in some], np.array([r[0] for r in some]), [r[2][:6] for r in some], least), [])
                 else:
-                    yield out([], [], [(lo // block, *r) for r in held[: min(hi, end) - at]])
+                    yield out([], [(lo // block, *r) for r in held[: min(hi, end) - at]])
                 if at == start and lo > 0:  # the pair with the block before
-                    yield out([], [], [(lo // block - 1, *r) for r in held[: mid - at]])
+                    yield out([], [(lo // block - 1, *r) for r in held[: mid - at]])
                 held, at = held[mid - at :], mid
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        for held in _runs(batches, lambda r: r[2]):
+            yield out(met(np.ones(len(held), bool), [r[3] for r in held], np.array([r[0] for r in held]), [r[4][:6] for r in held], least), [])
+
+    schema = "a long, b long, pair long, x binary, key binary"
+    got = cut(h.mapInArrow(compared, schema))
+    edge = got.where("pair is not null").repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(joined, schema)
+    every = got.where("pair is null").select("a", "b").unionByName(edge.select("a", "b"))
+    return cut(every.distinct())
+
 
-        def group() -> pa.RecordBatch:
-            return out(*met(np.ones(len(held), bool), [r[3] for r in held], np.array([r[0] for r in held]), np.array([r[4] for r in held]), [r[5][:6] for r in held], least), [])
+def _runs(batches: Iterator[pa.RecordBatch], key) -> Iterator[list[tuple]]:
+    """Lists of the rows that follow each other with the same ``key``."""
+    held: list[tuple] = []
+    for b in batches:
+        for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if held and key(held[0]) != key(r):
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
 
+
+def missed(vectors: DataFrame, order: dict[int, list[Order]], least: float, n: int) -> DataFrame:
+    """``a, b``: components of ``vectors(id, x, comp)`` between which there is a link; a star for each set found connected. No pair is left out.
+
+    A vector and its partner lie within the angle of ``least`` of each other, so the vector lies within that angle and a ball's own of the centre
+    of any ball that holds a partner. It goes to the tiles of all such balls, and the partner, as well, to the vector's.
+    """
+    h, begin, _, total = _ordered(vectors, order, n)
+    most = TILE_BYTES // (8 * max(order, default=1))
+    tile = max(TILE, min(most, -(-total // int(np.ceil(np.sqrt(8 * n))))))
+    tile = -(-tile // BALL) * BALL
+    angle = np.arccos(min(1.0, max(-1.0, least))) + 1e-6
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        at = None
         for b in batches:
-            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if held and held[0][2] != r[2]:
-                    yield group()
+            if b.num_rows:
+                at = begin[b.column(4)[0].as_py()] if at is None else at
+                yield at, b
+                at += b.num_rows
+
+    def ball(where: int, held: list[bytes]) -> pa.RecordBatch:
+        v = np.frombuffer(b"".join(held), float).reshape(len(held), -1)
+        c = v.sum(0)
+        c /= max(np.linalg.norm(c), 1e-300)
+        # a centre of zeros reaches all: its bound is below zero
+        bound = np.cos(min(np.pi, np.arccos(np.clip((v @ c).min(), -1, 1)) + angle))
+        return pa.RecordBatch.from_arrays([pa.array([where * BALL // tile], pa.int64()), pa.array([c.tobytes()], pa.binary()), pa.array([bound], pa.float64())], ["tile", "c", "bound"])
+
+    def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], -1
+        for at, b in places(batches):
+            for k, x in enumerate(b.column(1).to_pylist(), at):
+                if held and (k // BALL != now or len(x) != len(held[0])):
+                    yield ball(now, held)
                     held = []
-                held.append(r)
+                now = k // BALL
+                held.append(x)
         if held:
-            yield group()
+            yield ball(now, held)
 
-    schema = "a long, b long, pair long, x binary, probe int, key binary"
-    got = cut(h.mapInArrow(compared, schema))
-    edge = got.where("pair is not null").repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(joined, schema)
-    every = got.where("pair is null").select("a", "b").unionByName(edge.select("a", "b"))
-    every = cut(every.distinct())
-    return every.where("b is not null"), {r["a"] for r in every.where("b is null").collect()}  # at most one row a probe
-
-
-def links(classes: DataFrame, least: float, n: int) -> DataFrame:
-    """Links ``(a, b)`` between the distinct unit vectors ``classes(id, x)``: a star for each set found connected."""
-    count = classes.count()
-    size = (classes.agg(F.max(F.length("x"))).first()[0] or 8) // 8
-    few = classes.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(max(2 * PROBES, SAMPLE_BYTES // (8 * size))).collect()
-    by: dict[int, list] = {}
-    for r in few:
-        by.setdefault(len(r["x"]) // 8, []).append(r)
-    probes: list[tuple] = []
-    if count > WINDOW:
-        for dim, own in by.items():
-            own = own[: max(1, PROBES * len(own) // len(few))]
-            x = turned(np.stack([np.frombuffer(r["x"], float) for r in own]), least) if dim > 1 else np.zeros((0, 1))
-            probes += [(r["id"], v.tobytes(), len(probes) + i) for i, (r, v) in enumerate(zip(own, x, strict=False))]
-    samples = {dim: np.stack([np.frombuffer(r["x"], float) for r in own]) for dim, own in by.items() if len(own) >= LEAST}
-    found: set[int] = set()
-    edges, first, block = None, 0, WINDOW
-    while True:
-        passes = 1 if count <= WINDOW else PASSES
-        one, hit = _batch(classes, {d: [Order(first + k, s) for k in range(passes)] for d, s in samples.items()}, first, passes, probes, block, least, n)
-        edges = one if edges is None else edges.unionByName(one)
-        found |= hit
-        if len(found) >= RECALL * len(probes) or count <= block:
-            return edges
-        first, block = first + passes, 2 * block
+    by: dict[tuple[int, int], list] = {}
+    for r in h.mapInArrow(balls, "tile long, c binary, bound double").collect():  # one row for BALL vectors
+        by.setdefault((len(r["c"]) // 8, r["tile"]), []).append(r)
+    shared = vectors.sparkSession.sparkContext.broadcast({k: (np.stack([np.frombuffer(r["c"], float) for r in rs]), np.array([r["bound"] for r in rs])) for k, rs in by.items()})
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, b in places(batches):
+            raw = b.column(1).to_pylist()
+            sizes, own = np.array([len(v) // 8 for v in raw]), np.arange(at, at + len(raw)) // tile
+            v = {d: np.stack([np.frombuffer(raw[i], float) for i in np.flatnonzero(sizes == d)]) for d in np.unique(sizes).tolist()}
+            for (dim, t), (c, bound) in shared.value.items():
+                if dim in v:
+                    to = np.flatnonzero(sizes == dim)[(v[dim] @ c.T >= bound).any(1)]
+                    if len(to):
+                        lo, hi = np.minimum(own[to], t), np.maximum(own[to], t)
+                        rows = b.take(pa.array(to))
+                        yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(own[to]), rows.column(1), rows.column(2)], ["lo", "hi", "own", "x", "comp"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _runs(batches, lambda r: (r[0], r[1], len(r[3]))):
+            lo, hi = held[0][:2]
+            own = np.array([r[2] for r in held])
+            names, at = np.unique([r[4] for r in held], return_inverse=True)
+            root = np.arange(len(names))
+            v = np.frombuffer(b"".join(r[3] for r in held), float).reshape(len(held), -1)
+            a, b = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+            step = max(1, STEP // max(1, len(b)))
+            for k in range(0, len(a), step):
+                some = a[k : k + step]
+                hit = near(v[some], v[b], least)
+                if hit.any():
+                    hit &= root[at[some]][:, None] != root[at[b]][None, :]
+                    i, j = np.nonzero(hit)
+                    if len(i):
+                        new = np.unique(np.stack([root[at[some[i]]], root[at[b[j]]]], 1), axis=0)
+                        root = np.array(star(len(names), [*enumerate(root.tolist()), *map(tuple, new.tolist())]))
+            apart = np.flatnonzero(root != np.arange(len(root)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[apart], pa.int64()), pa.array(names[root[apart]], pa.int64())], ["a", "b"])
+
+    pairs = h.mapInArrow(sent, "lo long, hi long, own long, x binary, comp long").withColumn("size", F.length("x"))
+    pairs = pairs.repartition(n, "lo", "hi").sortWithinPartitions("lo", "hi", "size").drop("size")
+    return cut(pairs.mapInArrow(compared, "a long, b long").distinct())
+
+
+def groups(classes: DataFrame, least: float, n: int) -> DataFrame:
+    """``node, comp`` for each of the distinct unit vectors ``classes(id, x)`` that links with another; ``comp`` is the least node reachable."""
+    centres = {r["comp"] // 8: np.frombuffer(r["s"], float) / r["n"] for r in _sums(classes.select(F.length("x").cast("long").alias("comp"), "x")).collect()}  # one for each length
+    orders = {dim: [Order(k, c) for k in range(PASSES)] for dim, c in centres.items()}
+    found = components(links(classes, orders, least, n)).select("node", "comp")
+    v = cut(classes.select("id", "x").join(found, F.col("id") == F.col("node"), "left").select("id", "x", F.coalesce("comp", "id").alias("comp")))
+    more = missed(v, {dim: o[:1] for dim, o in orders.items()}, least, n)
+    if more.isEmpty():
+        return found
+    again = components(more).select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    known = v.select("id", "comp").join(again, F.col("comp") == F.col("old"), "left").join(found.select("node"), F.col("id") == F.col("node"), "left")
+    return known.where("old is not null or node is not null").select(F.col("id").alias("node"), F.coalesce("new", "comp").alias("comp"))
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
@@ -261,7 +320,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     v = v.withColumn("id", F.when(F.col("x").isNotNull(), F.xxhash64("x")))
     classes = cut(v.where("x is not null").groupBy("id", "x").agg(F.count("*").alias("rows"), F.min("vec_id").alias("least")))
     light = cut(v.select("vec_id", "id"))
-    comp = components(links(classes, least, n))
+    comp = groups(classes, least, n)
     linked = cut(classes.join(comp, classes["id"] == comp["node"]).select("id", "x", "rows", "least", "comp"))
     sizes = linked.groupBy("comp").agg(F.count("*").alias("n"), F.min("least").alias("component_id"))
     counts = _counted(linked.join(sizes.select("comp", "n"), "comp"), least, n)
@@ -276,25 +335,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
 def _core(linked: DataFrame, least: float) -> DataFrame:
     """``linked`` plus ``core``: whether a vector of a component of more than a block is within half the angle of its centre, so that all such are linked."""
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        for b in batches:
-            for c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                v = np.frombuffer(x, float)
-                held[c, len(v)] = held[c, len(v)] + v if (c, len(v)) in held else v
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], ["comp", "s"])
-
-    def total(t: pa.Table) -> pa.Table:
-        c = np.sum([np.frombuffer(x, float) for x in t.column("s").to_pylist()], axis=0)
-        return pa.table([t.column("comp")[:1], pa.array([(c / max(np.linalg.norm(c), 1e-300)).tobytes()], pa.binary())], names=["comp", "centre"])
-
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least_core = np.sqrt((1 + least) / 2) + 1e-9
         for b in batches:
-            core = [c is not None and float(np.frombuffer(x, float) @ np.frombuffer(c, float)) >= least_core for x, c in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            core = []
+            for x, s in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+                c = None if s is None else np.frombuffer(s, float)
+                core.append(c is not None and float(np.frombuffer(x, float) @ c) >= least_core * max(float(np.linalg.norm(c)), 1e-300))
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(core, pa.bool_())], ["comp", "n", "id", "rows", "x", "core"])
 
-    centres = linked.where(F.col("n") > BLOCK).select("comp", "x").mapInArrow(sums, "comp long, s binary").groupBy("comp").applyInArrow(total, "comp long, centre binary")
+    centres = _sums(linked.where(F.col("n") > BLOCK).select("comp", "x")).select("comp", F.col("s").alias("centre"))
     out = linked.join(centres, "comp", "left").select("comp", "n", "id", "rows", "x", "centre")
     return out.mapInArrow(marked, "comp long, n long, id long, rows long, x binary, core boolean")
 
@@ -327,14 +377,7 @@ def _counted(linked: DataFrame, least: float, n: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(c.astype(np.int64))], ["id", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for b in batches:
-            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if held and held[0][:3] != r[:3]:
-                    yield group(held)
-                    held = []
-                held.append(r)
-        if held:
+        for held in _runs(batches, lambda r: r[:3]):
             yield group(held)
 
     every = known.unionByName(p.mapInArrow(run, "id long, n long"))
