@@ -621,6 +621,19 @@ def test_fingerprints(docs, none):
     assert one["near_next"] == 1.0
 
 
+def test_texts_are_shuffled_once(spark, docs):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = fingerprints.fingerprint(docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, text string")).collect()
+    assert len(got) == len(rows())
+    assert seen.value == 2 * len(rows())  # for the order of the documents, and for the texts
+
+
 def brute_signature(words, k, slots=fingerprints.SLOTS, together=fingerprints.TOGETHER):
     """Of each slot the (term, t) with the least sample, by the definition, with variates from the same hashes."""
     h = lambda form, v, seed: xxhash.xxh64_intdigest(struct.pack(form, v), seed)

@@ -6,7 +6,7 @@ t = floor(ln w / r + b), y = exp(r (t - b)), a = c / (y exp(r)), w being the ter
 all terms. Two documents have the same value in a slot with the probability of their generalised Jaccard similarity
 (sum of least over sum of greatest weights).
 
-Scale: texts are shuffled once by document. Shingles are counted and sampled where their document lies; a text and its edited
+Scale: texts are shuffled once by document, and those files are freed before the results are put together. Shingles are counted and sampled where their document lies; a text and its edited
 form share the samples of what they have in common. All aggregates follow the documents' partitioning, and no Python runs.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, tasks
+from .common import cut, release, tasks
 
 SPACE = r"[\x20\x09-\x0D]+"
 SLOTS = 48
@@ -137,9 +137,10 @@ def fingerprint(docs: DataFrame, slots: int = SLOTS, words: int = WORDS) -> Data
     heads = heads.select(F.col("for_id").alias("id"), F.col("for_key").alias("key"), "third", "head")
     both = one.join(heads, ["id", "key"]).select("id", "key", "text", F.concat(F.expr("left(text, char_length(text) - third)"), "head").alias("edited"), F.expr("char_length(text) - third").alias("same"))
     sha = both.select("id", "key", F.sha2("edited", 256).alias("edited_sha256"))
-    sigs = cut(signatures(both, ["id", "key"], slots, words))
+    sigs = cut(sha.join(signatures(both, ["id", "key"], slots, words), ["id", "key"], "left"))  # one job, so that both use the same shuffles of texts
+    release(docs.sparkSession)  # which nothing needs from here on
     empty = F.array_repeat(F.lit(None).cast("int"), slots)
-    out = nexts.join(sha, ["id", "key"]).join(sigs, ["id", "key"], "left")
+    out = nexts.join(sigs, ["id", "key"])
     after = sigs.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("own").alias("next_sig"))
     out = out.join(after, ["next_id", "next_key"], "left")
     own, edited, coming = F.coalesce("own", empty), F.coalesce("edited", empty), F.coalesce("next_sig", empty)
