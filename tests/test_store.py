@@ -432,3 +432,26 @@ def test_cli(spark, make, tmp_path, capsys):
     assert capsys.readouterr().out.split("\n")[:3] == ["[0, 2]", "t", '{"p": [0, 2]}']
     main(["--root", s.files.root, "--output", f"arrow={tmp_path / 'out'}", "records", "t", "p", "--start", "1"], spark)
     assert pa.ipc.open_file(open(tmp_path / "out", "rb")).read_all()["v"].to_pylist() == [4]
+
+
+def test_no_partition_is_gathered(spark, make):
+    s = make()
+    rows = spark.range(60_000).selectExpr("id as time", "repeat('x', 20) as message", "'p' as k")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert s.ingest("t", rows, "k", ["time"], 50_000, drop_key=True) == {"p": Span(0, 60_000)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # a task writes at most one file of a segment, so the largest file tells how many rows went through one
+    files = spark.read.parquet(*[s.files.full(x.paths[0]) for x in s.manifest.of("t", "p")]).groupBy(F.input_file_name()).count()
+    assert files.agg(F.max("count")).first()[0] <= 30_000
+    assert s.iterate_all("t", keep=True).df.where("time <> __index").count() == 0
+
+
+def test_nulls_and_blanks_share_a_partition(spark, make):
+    s = make()
+    rows = spark.range(40).selectExpr("id as time", "'x' as message", "nullif(if(id % 3 = 0, '', 'n'), 'n') as k")
+    assert s.ingest("t", rows, "k", ["time"], 7, drop_key=True) == {"": Span(0, 40)}
+    got = s.iterate_all("t", keep=True).df.select("__index", "time").collect()
+    assert [r[0] for r in got] == list(range(40)) and sorted(r[1] for r in got) == list(range(40))
