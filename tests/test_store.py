@@ -455,3 +455,18 @@ def test_nulls_and_blanks_share_a_partition(spark, make):
     assert s.ingest("t", rows, "k", ["time"], 7, drop_key=True) == {"": Span(0, 40)}
     got = s.iterate_all("t", keep=True).df.select("__index", "time").collect()
     assert [r[0] for r in got] == list(range(40)) and sorted(r[1] for r in got) == list(range(40))
+
+
+def test_ranges_grow_with_the_rows(spark, make, monkeypatch):
+    from tidelog.sources import store as stores
+
+    monkeypatch.setattr(stores, "RANGE_BYTES", 1 << 16, raising=False)
+    s = make()
+    rows = spark.range(30_000).selectExpr("id as time", "repeat('x', 20) as message", "'p' as k")
+    s.ingest("t", rows, "k", ["time"], 50_000, drop_key=True)
+    # 92 bytes a row make 43 ranges, though the session has 4 shuffle partitions
+    files = spark.read.parquet(s.files.full(s.manifest.of("t", "p")[0].paths[0])).groupBy(F.input_file_name()).count()
+    assert files.count() > 30 and files.agg(F.max("count")).first()[0] < 3000
+    s.ingest("few", rows.limit(100), "k", ["time"], 50_000, drop_key=True)
+    assert len([n for n in s.files.names(s.manifest.of("few", "p")[0].paths[0]) if n.endswith(".parquet")]) == 1
+    assert s.iterate_all("t", keep=True).df.where("time <> __index").count() == 0
